@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import drop, written
+from palimpsest.llm.shared import written
 from palimpsest.llm.tokens import encoder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -74,14 +74,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         enc, end = encoder(tokenizer), np.uint32(end_id).tobytes()
         held: list[tuple] = []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.encode(text) + end
+            encoded = map(enc.encode, batch.column(1).to_pylist())
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded):
+                ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     cut = ids[k : k + 4 * capacity]
                     held.append((len(cut) // 4, [doc], [k // (4 * capacity)], [len(cut) // 4], [zlib.crc32(cut)], [0], [cut if keep_ids else None]))
-            if len(held) >= local:
-                yield merged(held, capacity, slack, False)
-                held = []
+                if len(held) >= local:
+                    yield merged(held, capacity, slack, False)
+                    held = []
         if held:
             yield merged(held, capacity, slack, False)
 

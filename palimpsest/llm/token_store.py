@@ -101,11 +101,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, sample:
     run = uuid.uuid4().hex
 
     def shards(batches):
-        enc, task, writer, k, done = encoder(tokenizer), TaskContext.get(), None, 0, []
+        enc, end, task, writer, k, done = encoder(tokenizer), np.uint32(end_id).tobytes(), TaskContext.get(), None, 0, []
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            encoded = map(enc.encode, b.column(1).to_pylist())
+            for doc, ids in zip(b.column(0).to_pylist(), encoded):
                 writer = writer or ShardWriter(folder, f"{run}-{task.partitionId():08d}-{k:05d}-{task.taskAttemptId()}.tok", dictionary, width)
-                writer.add(doc, np.append(np.frombuffer(enc.encode(text), "<u4"), np.uint32(end_id)))
+                writer.add(doc, np.frombuffer(ids + end, "<u4"))
                 if writer.at >= shard_mb << 20:
                     done, writer, k = [*done, writer.close()], None, k + 1
         if writer:

@@ -8,6 +8,7 @@ the worker.  Texts of characters whose class could differ between regular-expres
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 from array import array
@@ -25,13 +26,14 @@ WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s0-9{LETTER}]+"
 #: Bytes of Latin-1 texts on which every engine agrees.
 PLAIN = bytes([9, 10, *range(32, 127), *(b for b in range(0xC0, 0x100) if b not in (0xD7, 0xF7))])
 #: Pre-tokens kept by a worker; at the limit it starts afresh.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 class Encoder:
     """``encode(text) -> bytes`` of little-endian unsigned 32-bit ids; a null text is empty."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the other tasks
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
