@@ -59,8 +59,9 @@ def _letters(text: str) -> np.ndarray:
     c = np.where(letter, c, 32)
     keep = np.ones(len(c), bool)
     keep[1:] = letter[1:] | letter[:-1]
-    c = np.concatenate([[32], c[keep], [32]])
-    return c.astype(np.uint64)
+    c = c[keep]
+    c = c[int(c[0] == 32) : len(c) - int(c[-1] == 32)]
+    return np.concatenate([[32], c, [32]]).astype(np.uint64)
 
 
 LATIN = np.array([chr(k).isalpha() for k in range(0x250)], bool)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, edit_embedding, langid, licenses, lm_scoring, packing, quotes, simhash, token_store, toxicity
+from palimpsest.llm import decontaminate, edit_embedding, langid, licenses, lm_scoring, oracle, packing, quotes, simhash, token_store, toxicity
 from palimpsest.llm.shared import documents
 
 
@@ -68,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quotation_linking": oracle.quotation_linking(), "op7_license_scan": oracle.license_scan()}

@@ -1,11 +1,12 @@
 """Toxicity: a lexicon found by Levenshtein automata, scored in context.
 
 The lexicon is a trie of whole terms and of stems.  The automaton that accepts every word within a term's number of
-edits is intersected with the trie into one deterministic automaton, built as words ask for it; stems take any ending and no edit.
+edits is intersected with the trie into one deterministic automaton, built as words ask for it; stems take any ending, of
+one letter or more, and no edit.
 Hits near quotation marks or verbs of saying count as quotations, hits near forms of address as abuse; a logistic
 regression over the counts gives the score.
 
-Terms: a seed list, and stems learned from labelled documents: word beginnings common in toxic ones and absent from others.
+Terms: a seed list, and stems and words learned from labelled documents: common in toxic ones and rare in others.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ WINDOW = 6
 QUOTES = '"“”„«»'
 #: Words whose verdict a worker keeps.
 CACHE = 500_000
+#: Toxic documents that must have a learned stem, and other documents, as a share of those, that may: labels err.
+LEAST, NOISE = 7, 0.12
+#: What weights shrink to: misspelled hits count even where the labelled documents have none.
+PRIOR = (0.0, 3.0, 0.5, 0.0, 0.0, 0.0)
 FEATURES = ("clear", "close", "quoted", "addressed", "dense", "any")
 
 
@@ -47,7 +52,7 @@ def edits(term: str) -> int:
 class Lexicon:
     """Terms and stems as a trie; ``find(word)`` gives 0 for no hit, 1 for a term or stem as written, 2 for a misspelled term."""
 
-    def __init__(self, terms, stems=(), clean=()):
+    def __init__(self, terms, stems=(), words=(), clean=()):
         self.clean = frozenset(clean)
         self.children: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
@@ -56,6 +61,8 @@ class Lexicon:
         self.reach: list[int] = [0]
         for word in terms:
             self._add(word, edits(word), False)
+        for word in words:
+            self._add(word, 0, False)
         for word in stems:
             self._add(word, 0, True)
         self.states: dict[tuple, int] = {}
@@ -78,7 +85,7 @@ class Lexicon:
         if stem:
             self.stem[node] = True
         else:
-            self.term[node] = most
+            self.term[node] = max(most, self.term[node])
 
     def _state(self, positions: dict[tuple[int, int], int]) -> int:
         """A state: the (trie node, edits) it stands at, closed under letters that the word leaves out."""
@@ -98,10 +105,10 @@ class Lexicon:
             self.moves.append({})
             hit = 0
             for node, spent in key:
-                if self.stem[node] and spent == 0:
-                    hit = 3  # whatever follows
-                elif self.term[node] >= 0 and spent <= self.term[node] and hit < 3:
+                if self.term[node] >= 0 and spent <= self.term[node]:
                     hit = 1 if spent == 0 else hit or 2
+            if any(self.stem[node] and spent == 0 for node, spent in key):
+                hit += 4  # and any letter that follows makes a hit
             self.accepts.append(hit)
             self.moves[-1][""] = key
         return self.states[key]
@@ -125,13 +132,13 @@ class Lexicon:
             return 0
         state = self.start
         for c in word:
+            if self.accepts[state] >= 4:
+                return 1
             moves = self.moves[state]
             state = moves[c] if c in moves else self._move(state, c)
             if state < 0:
                 return 0
-            if self.accepts[state] == 3:
-                return 1
-        return self.accepts[state]
+        return self.accepts[state] & 3
 
 
 def features(text: str | None, lexicon: Lexicon, verdicts: dict[str, int]) -> tuple[list[float], list[str]]:
@@ -163,30 +170,36 @@ def features(text: str | None, lexicon: Lexicon, verdicts: dict[str, int]) -> tu
         else:
             close += 1
         addressed += not ADDRESS.isdisjoint(near)
-    x = [math.log1p(clear), math.log1p(close), math.log1p(quoted), math.log1p(addressed), 10 * math.sqrt((clear + quoted) / len(words)), float(clear + quoted > 0)]
+    x = [math.log1p(clear), math.log1p(close), math.log1p(quoted), math.log1p(addressed), 10 * math.sqrt((clear + quoted + close / 2) / len(words)), float(clear + quoted > 0)]
     return x, [w for w, v in hits.items() if v == 2]
 
 
-def stems_of(pos: Counter, neg: Counter, least: int = 8, noise: float = 0.03) -> list[str]:
-    """The shortest word beginnings that at least ``least`` toxic documents have and hardly any other."""
-    kept: set[str] = set()
-    for stem in sorted((s for s, n in pos.items() if n >= least and neg[s] <= noise * n), key=lambda s: (len(s), s)):
-        if not any(stem[:k] in kept for k in range(1, len(stem))):
-            kept.add(stem)
-    return sorted(kept)
+def stems_of(pos: Counter, neg: Counter) -> tuple[list[str], list[str]]:
+    """(stems, words): the shortest beginnings (``x+``), and the words no such stem covers (``x$``), that at least LEAST toxic
+    documents have and, but for NOISE of as many, no other."""
+    stems: set[str] = set()
+    words = []
+    for mark in sorted((m for m, n in pos.items() if n >= LEAST and neg[m] <= NOISE * n), key=lambda m: (m[-1] == "$", len(m), m)):
+        text = mark[:-1]
+        if any(text[:k] in stems for k in range(1, len(text))):
+            continue
+        if mark[-1] == "+":
+            stems.add(text)
+        else:
+            words.append(text)
+    return sorted(stems), words
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
     """Logistic regression by Newton's method; the last weight is the intercept.  Without both classes, only the lexicon speaks."""
     if len(set(y.tolist())) < 2:
-        return np.array([1.5, 0.3, -0.5, 0.3, 0.3, 2.0, -2.0])
+        return np.array([1.5, 2.0, 0.5, 0.3, 1.0, 2.0, -3.5])
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    prior, shrink = np.array([*PRIOR, 0.0]), np.array([ridge] * len(PRIOR) + [1e-9])
+    w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * len(y) * w * ([1e-2] * (len(w) - 1) + [0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge * len(y) * np.array([1e-2] * (len(w) - 1) + [1e-6])) + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(h, g)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink) + 1e-9 * np.eye(len(w)), x.T @ (p - y) + shrink * (w - prior))
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -209,13 +222,14 @@ def train(labelled: DataFrame) -> Model:
         found = Counter()
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found.update({(w[:k], y) for w in set(WORD.findall(text.lower())) for k in range(4, min(len(w), 9) + 1)} | {("", y)})
+                distinct = set(WORD.findall(text.lower())).difference(SEED)
+                found.update({(w[:k] + "+", y) for w in distinct for k in range(4, min(len(w), 10))} | {(w + "$", y) for w in distinct if 3 <= len(w) < 64})
         out = [(s, y, n) for (s, y), n in found.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["stem", "y", "n"])
 
     counted = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(beginnings, "stem string, y int, n long").groupBy("stem").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("q"))
-    got = counted.filter("p >= 8 and (q <= 0.03 * p or stem = '')").collect()
-    stems = stems_of(Counter({r.stem: r.p for r in got if r.stem}), Counter({r.stem: r.q for r in got if r.stem}))
+    got = counted.filter((F.col("p") >= LEAST) & (F.col("q") <= NOISE * F.col("p"))).collect()
+    learned = stems_of(Counter({r.stem: r.p for r in got}), Counter({r.stem: r.q for r in got}))
 
     def measured(lexicon):
         def run(batches):
@@ -226,9 +240,9 @@ def train(labelled: DataFrame) -> Model:
 
         return rows.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(run, "x array<double>, w array<string>, y int").collect()
 
-    lexicon = (SEED, stems, ())
+    lexicon = (SEED, *learned, ())
     # Correct words that look like misspelled terms: they occur in documents that aren't toxic.
-    lexicon = (SEED, stems, sorted({w for r in measured(lexicon) if not r.y for w in r.w}))
+    lexicon = (SEED, *learned, sorted({w for r in measured(lexicon) if not r.y for w in r.w}))
     got = measured(lexicon)
     if not got:
         return Model(lexicon, fit(np.zeros((0, len(FEATURES))), np.zeros(0)))
