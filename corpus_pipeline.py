@@ -36,22 +36,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash component the document of the smallest doc_id, one row of it; documents of null doc_id that
-    link to none with one keep one row for each fingerprint."""
-    found = simhash.near_duplicates(docs)
-    kept = found.select(F.coalesce("component_id", F.lit(None).cast("bigint")).alias("doc_id"), "fingerprint").filter("doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter("doc_id is null")
-    alone = simhash.fingerprint(nameless).select(F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
-    return _documents(named) if alone.isEmpty() else _documents(named).unionByName(_unlinked(nameless, found))
+    """Keeps of each SimHash component the document of the smallest doc_id, one row of it; of documents of null doc_id that
+    link to none with one, one row for each fingerprint."""
+    docs = _documents(docs)
+    found = written(simhash.near_duplicates(docs), "near")
+    kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    rows = docs.join(kept, "doc_id")
+    out = rows.filter("_rows = 1")
+    if not kept.filter("_rows > 1").isEmpty():  # ids that repeat; the texts of all others are not shuffled again
+        out = out.unionByName(rows.filter("_rows > 1").dropDuplicates(["doc_id"]))
+    out = _documents(out)
+    lonely = found.filter("component_id is null").select("fingerprint").distinct()
+    return out if lonely.isEmpty() else out.unionByName(_nameless(docs.filter("doc_id is null"), lonely))
 
 
-def _unlinked(nameless: DataFrame, found: DataFrame) -> DataFrame:
-    lonely = found.filter("component_id is null").select("fingerprint").distinct()
-    rows = nameless.withColumn("_text", F.coalesce("text", F.lit(""))).dropDuplicates(["_text"])
-    marked = written(rows.drop("_text"), "nameless")
-    prints = simhash.fingerprint(marked.select(F.xxhash64("text").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
-    return _documents(marked.withColumn("_key", F.xxhash64("text")).join(prints.dropDuplicates(["_key"]), "_key").join(lonely, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]))
+def _nameless(docs: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """One document without doc_id for each of the fingerprints."""
+    one = written(docs.dropDuplicates(["text"]).withColumn("_key", F.xxhash64("text")), "nameless")
+    prints = simhash.fingerprint(one.select(F.col("_key").alias("doc_id"), "text"))
+    named = prints.select(F.col("doc_id").alias("_key"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).dropDuplicates(["_key"])
+    return _documents(one.join(named, "_key").join(fingerprints, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
