@@ -30,18 +30,15 @@ HEAD = len(MAGIC) + 32 + 1
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample: int, size: int) -> bytes:
-    """A dictionary of at most ``size`` bytes from about ``sample`` documents, chosen by a hash of the row; fewer than 16 documents give none."""
-    import zstandard
+    """A dictionary of at most ``size`` bytes from the beginnings of the first ``sample`` documents read; fewer than 16 give none.
 
-    n = docs.count()
-    share = max(1, min(1 << 20, (sample << 20) // max(n, 1)))
-    def ids(batches):
-        enc = encoder(tokenizer)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.append(np.frombuffer(enc.encode(t), "<u4"), end_id).astype(f"<u{width}").tobytes()[:8192] for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
+    It decides the size of the files only: any dictionary gives back the same ids.
+    """
+    import zstandard
 
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(11)), F.lit(1 << 20)) < share).select("text")
-    samples = [bytes(r.ids) for r in chosen.mapInArrow(ids, "ids binary").collect()]
+    enc = encoder(tokenizer)
+    texts = [r.text for r in docs.select(F.substring("text", 1, 16_384).alias("text")).limit(sample).collect()]
+    samples = [np.append(np.frombuffer(enc.encode(t), "<u4"), end_id).astype(f"<u{width}").tobytes() for t in texts]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
@@ -89,7 +86,7 @@ def parse(content, dictionary: bytes):
         yield e[0] if e[1] else None, np.frombuffer(reader.decompress(content[e[2] : e[2] + e[3]]), f"<u{width}").astype("<u4")
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, sample: int = 2000, dictionary_size: int = 65_536, shard_mb: int = 64) -> dict:
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, sample: int = 1000, dictionary_size: int = 65_536, shard_mb: float = 64) -> dict:
     """Encode ``docs(doc_id, text)`` into ``folder`` in ascending doc_id order and return the manifest, which also lies there.
 
     Null text is empty (the end id alone); null doc_ids come first; rows that repeat are written each; an empty table gives
@@ -107,7 +104,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, sample:
             for doc, ids in zip(b.column(0).to_pylist(), encoded):
                 writer = writer or ShardWriter(folder, f"{run}-{task.partitionId():08d}-{k:05d}-{task.taskAttemptId()}.tok", dictionary, width)
                 writer.add(doc, np.frombuffer(ids + end, "<u4"))
-                if writer.at >= shard_mb << 20:
+                if writer.at >= shard_mb * (1 << 20):
                     done, writer, k = [*done, writer.close()], None, k + 1
         if writer:
             done.append(writer.close())
