@@ -184,14 +184,43 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of ``edges(a, b)`` reaches.  Alternating large and small stars, each round a written table."""
-    now, before = written(edges.select("a", "b").filter("a <> b"), "edges"), None
+def contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """The edges of each of ``parts`` random parts as stars around the smallest node that they reach within the part."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(a), root(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        pairs = [(x, root(x)) for x in list(parent) if root(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=EDGE)
+
+    return edges.repartition(parts).mapInArrow(run, "a bigint, b bigint")
+
+
+def components(edges: DataFrame, together: int = 500_000) -> DataFrame:
+    """(node, label): the smallest node that each node of ``edges(a, b)`` reaches.
+
+    Parts of at most about ``together`` edges are joined by union-find, a part a task.  While there are several parts,
+    rounds of alternating large and small stars follow, each a written table, until nothing changes.
+    """
+    now = written(edges.select("a", "b").filter("a <> b"), "edges")
+    before = None
     while True:
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before or not state[0]:
-            break
-        before = state
+        parts = max(1, -(-now.count() // together))
+        after = written(contracted(now, parts), "edges")
+        drop(now)
+        if parts == 1:
+            return after.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        now = after
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -200,7 +229,10 @@ def components(edges: DataFrame) -> DataFrame:
         after = written(small, "edges")
         drop(now)
         now = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        before = state
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
