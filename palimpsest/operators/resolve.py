@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.model import PUT
+from palimpsest.operators.ordered import running_sum
 
 
 def newest(versions: DataFrame, by: str = "seq", *keys: str) -> DataFrame:
@@ -40,13 +41,27 @@ def anti_state(log: DataFrame) -> DataFrame:
     return log.filter(F.col("op") == PUT).join(newer, (F.col("k") == F.col("nk")) & (F.col("last") > F.col("seq")), "left_anti").select("k", "v", "seq")
 
 
-def history(log: DataFrame) -> DataFrame:
-    """Every version with the sequence that replaces it."""
-    return log.select("k", "seq", "op", "v", F.lead("seq").over(Window.partitionBy("k").orderBy("seq")).alias("valid_to"))
+def history(log: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Every version with the sequence that replaces it.
+
+    Windows are over a key and ``width`` sequences, so that a key with a large share of all versions is many windows; the
+    last version of each takes the first sequence of the key's next one.
+    """
+    rows = log.withColumn("_s", F.floor(F.col("seq") / width))
+    first = rows.groupBy("k", "_s").agg(F.min("seq").alias("_first"))
+    after = first.select("k", "_s", F.lead("_first").over(Window.partitionBy("k").orderBy("_s")).alias("_after"))
+    own = F.lead("seq").over(Window.partitionBy("k", "_s").orderBy("seq"))
+    return rows.withColumn("_own", own).join(after, ["k", "_s"]).select("k", "seq", "op", "v", F.coalesce("_own", "_after").alias("valid_to"))
 
 
-def internal_order(log: DataFrame, block: Column) -> DataFrame:
-    """O1: position of every version by key, newest first, a put before a deletion of the same sequence."""
-    from palimpsest.operators.ordered import row_numbers
+def internal_order(log: DataFrame, block: Column, width: int = 1 << 20) -> DataFrame:
+    """O1: position of every version by key, newest first, a put before a deletion of the same sequence.
 
-    return row_numbers(log, block, [F.col("k").asc(), F.col("seq").desc(), F.col("op").desc()], "pos").select("pos", "k", "seq", "op")
+    Rows are numbered within a key and ``width`` sequences; what comes before is summed over one row for each of those,
+    in blocks by ``block``, a column of ``k`` that grows with it.
+    """
+    rows = log.withColumn("_s", -F.floor(F.col("seq") / width))
+    groups = running_sum(rows.groupBy("k", "_s").agg(F.count("*").alias("_n")), block, [F.col("k"), F.col("_s")], F.col("_n"), "_end")
+    own = F.row_number().over(Window.partitionBy("k", "_s").orderBy(F.col("seq").desc(), F.col("op").desc()))
+    placed = rows.withColumn("_own", own).join(groups, ["k", "_s"])
+    return placed.select((F.col("_end") - F.col("_n") + F.col("_own")).alias("pos"), "k", "seq", "op")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import coding, hashing
-from palimpsest.operators import batches, lookup, manifest, replog, resolve, runs
+from palimpsest.operators import batches, cache, lookup, manifest, replog, resolve, runs
 from palimpsest.plans import oracle
 from palimpsest.sources.tables import change_log, entry_term, hash_keys, ordered_keys, replicated_log, table
 from palimpsest.streaming import apply
@@ -388,7 +388,7 @@ def micro_batches(spark, sf_dir):
 def stream_apply(spark, sf_dir):
     """The change log as a stream, applied to keyed state until nothing is left."""
     events = table(spark, sf_dir, "events")
-    stream = apply.versions_stream(spark, f"{sf_dir}/events.parquet", events.schema)
+    stream = apply.versions_stream(spark, f"{sf_dir}/event[s].parquet", events.schema)  # a pattern: the table may be a file or a folder
     gone = F.col("event_type") == "error"
     versions = stream.select(F.col("user_id").cast("string").alias("k"), (F.col("event_id") + 1).alias("seq"), F.when(gone, 0).otherwise(1).alias("op"), F.when(gone, "").otherwise(F.concat_ws(":", "event_type", "props")).alias("v"))
     return apply.apply_available(versions, apply.scratch(spark))
@@ -462,6 +462,13 @@ def cache_shards(spark, sf_dir):
     return h.groupBy(hashing.cache_shard(F.col("h")).cast("bigint").alias("shard")).agg(F.count("*").alias("n"), F.sum("charge").alias("charge"))
 
 
+@query
+def cache_lru(spark, sf_dir):
+    """Hits and evictions of a cache of 48 blocks over the trace of users."""
+    trace = table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), F.col("user_id").cast("string").alias("k"), F.lit(1).alias("charge"))
+    return cache.simulate(trace, 48)
+
+
 @query
 def arena_usage(spark, sf_dir):
     """Per generation, blocks of an arena if entries are placed densely: whole blocks, and large entries alone."""

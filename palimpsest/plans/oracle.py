@@ -92,7 +92,7 @@ def texts() -> dict[str, str]:
         "vote_granted": f"with r as (select user_id cand, event_type voter, max(event_id) li0, min(event_id) arrival from events group by 1, 2), q as (select cand, voter, arrival, li0 + 1 li, cast(floor(li0 / 2500.0) as bigint) + 1 lt, 5 + cand % 2 term from r), v as (select event_type voter, max(event_id) - 300 li from events group by 1), w as (select voter, li, cast(floor((li - 1) / 2500.0) as bigint) + 1 lt from v), ok as (select q.* from q join w on q.voter = w.voter where q.term >= 5 and (q.lt > w.lt or (q.lt = w.lt and q.li >= w.li))), t as (select *, max(term) over (partition by voter) mt from ok) select voter, arg_min(cand, arrival) cand from t where term = mt group by voter",
         "apply_committed": f"with {OPS}, r as (select *, row_number() over (partition by k order by seq desc) rn from ops where seq <= 7000) select k, v, seq idx from r where rn = 1 and op = 1",
         "append_requests": "with peers as (select event_type peer, max(event_id + 1) m from events where event_id < 9900 group by 1), log as (select event_id + 1 idx from events) select peer, m prev_idx, count(idx) n_entries, max(idx) last_idx from peers left join log on idx >= m + 1 group by peer, m",
-        "replication_progress": "with a as (select event_type peer, event_id at, event_id + 1 sent, event_id % 10 <> 0 ok from events), m as (select peer, coalesce(max(case when ok then sent end), 0) mi, coalesce(max(case when ok then at end), -1) t from a group by peer) select m.peer, mi match_index, greatest(1, mi + 1 - (select count(*) from a where a.peer = m.peer and not ok and at > t)) next_index from m",
+        "replication_progress": "with a as (select event_type peer, event_id seen, event_id + 1 sent, event_id % 10 <> 0 ok from events), m as (select peer, coalesce(max(case when ok then sent end), 0) mi, coalesce(max(case when ok then seen end), -1) t from a group by peer) select m.peer, mi match_index, greatest(1, mi + 1 - (select count(*) from a where a.peer = m.peer and not ok and seen > t)) next_index from m",
         "pending_answers": "select event_id + 1 idx, event_id + 1 <= 7000 applied from events where event_id % 97 = 5",
         "leader_append": "select (select max(event_id + 1) from events) + event_id + 1 idx, cast(77 as bigint) term, cast(1 as bigint) op, cast(user_id as varchar) k, event_type v from events where event_id < 50",
         "micro_batches": "select cast(floor(event_id / 1000.0) as bigint) batch, min(event_id + 1) \"first\", max(event_id + 1) \"last\", count(*) n from events group by 1",
@@ -106,5 +106,6 @@ def texts() -> dict[str, str]:
         "bloom_probe": f"with {_hash('select distinct k from (select cast(o_orderkey * 7919 as varchar) k from orders where o_orderkey < 1000 union all select cast(c_custkey * 7919 - 3 as varchar) from customer where c_custkey <= 1000)', 0xBC9F1D34)}, {PROBES}, s as (select distinct {POSITIONS} p from hk cross join j where k in (select cast(o_orderkey * 7919 as varchar) from orders where o_orderkey < 1000)), q as (select k, {POSITIONS} p from hk cross join j where k in (select cast(c_custkey * 7919 - 3 as varchar) from customer where c_custkey <= 1000)) select q.k, cast(min(case when s.p is null then 0 else 1 end) as bigint) may_match from q left join s on q.p = s.p group by q.k",
         "filter_groups": "with t as (select cast(64 * (row_number() over (order by k) - 1) as bigint) off from (select distinct cast(o_orderkey as varchar) k from orders)), g as (select (off - off % 4096) // 2048 granule, count(*) n_keys from t group by 1) select granule, n_keys, ((greatest(64, n_keys * 10) + 7) // 8) * 8 bits from g",
         "cache_shards": f"with {_hash(KEYS, 0)} select cast(floor(h / 268435456) as bigint) shard, count(*) n, cast(sum(length(k)) as bigint) charge from hk group by 1",
+        "cache_lru": f"with {_hash('select distinct cast(user_id as varchar) k from events', 0)}, t as (select event_id seen, cast(user_id as varchar) k, cast(floor(h / 268435456) as bigint) shard, lag(event_id) over (partition by user_id order by event_id) prev from events join hk on hk.k = cast(user_id as varchar)), d as (select t.shard, t.seen, count(distinct b.k) between_keys, any_value(t.prev) prev from t left join t b on b.shard = t.shard and b.seen > t.prev and b.seen < t.seen group by t.shard, t.seen), c as (select shard, cast(sum(case when prev is not null and between_keys < 3 then 1 else 0 end) as bigint) hits, count(*) n from d group by shard), u as (select shard, least(3, count(distinct k)) held from t group by shard) select c.shard, hits, n - hits misses, n - hits - held evictions, held charge from c join u on u.shard = c.shard",
         "arena_usage": f"with {OPS}, {GEN}, s as (select gen, {REC} + 8 size from g) select gen, cast(sum(case when size > 1024 then size + 8 else 0 end) + ceil(sum(case when size <= 1024 then size else 0 end) / 4096.0) * 4104 as bigint) bytes from s group by gen",
     }

@@ -70,8 +70,11 @@ class Store:
         """Blind: the key need not exist."""
         return self.write([(DELETE, key, "")])
 
-    def write(self, operations: list[tuple]) -> int:
-        """An atomic batch of (op, key, value), in order; the sequence of its last operation.  Nothing of a bad batch is applied."""
+    def write(self, operations: list[tuple], sync: bool = True, disable_wal: bool = False) -> int:
+        """An atomic batch of (op, key, value), in order; the sequence of its last operation.  Nothing of a bad batch is applied.
+
+        ``sync`` and ``disable_wal`` are accepted and change nothing: a batch is its log file, and durable once it returns.
+        """
         for op, key, value in operations:
             if op not in (DELETE, PUT) or key is None or (op == PUT and value is None):
                 raise InvalidArgument(f"operation {(op, key)!r}")
@@ -178,5 +181,29 @@ class Store:
                     fs.delete(s.getPath(), True)
 
 
+class Service:
+    """The three calls of a client, as dictionaries: ``success`` or ``found``, and ``error``, never an exception."""
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def _try(self, call) -> dict:
+        try:
+            call()
+            return {"success": True, "error": ""}
+        except Exception as e:  # noqa: BLE001  the caller gets the reason instead
+            return {"success": False, "error": str(e) or type(e).__name__}
+
+    def put(self, key: str, value: str) -> dict:
+        return self._try(lambda: self.store.put(key, value))
+
+    def delete(self, key: str) -> dict:
+        return self._try(lambda: self.store.delete(key))
+
+    def get(self, key: str) -> dict:
+        value = self.store.get(key)
+        return {"found": value is not None, "value": value or "", "error": "" if value is not None else "Key not found"}
+
+
 def stats(store: Store) -> DataFrame:
     return runs.run_stats(runs.generations(store.versions(), 1000))

@@ -124,3 +124,16 @@ def test_stream_into_store_and_restart(spark, sf_dir, tmp_path):
     go()
     go()
     assert {r.k: r.v for r in store.state().collect()} == want and store.last_seq == table(spark, sf_dir, "events").count()
+
+
+def test_hot_keys_in_many_windows(spark):
+    rows = [("hot", i, i % 3 > 0, str(i)) for i in range(1, 400)] + [(f"k{i % 5}", 400 + i, True, "") for i in range(40)]
+    log = spark.createDataFrame([(k, s, int(o), v) for k, s, o, v in rows], "k string, seq long, op int, v string").repartition(3)
+    by_key = {}
+    for k, s, *_ in rows:
+        by_key.setdefault(k, []).append(s)
+    want = {(k, s): t for k, ss in by_key.items() for s, t in zip(ss, [*ss[1:], None])}
+    assert {(r.k, r.seq): r.valid_to for r in resolve.history(log, 7).collect()} == want
+    order = sorted(((k, -s) for k, s, *_ in rows))
+    got = resolve.internal_order(log, F.substring("k", 1, 1), 7).orderBy("pos").collect()
+    assert [(r.k, -r.seq) for r in got] == order and [r.pos for r in got] == list(range(1, len(rows) + 1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.model import DELETE, PUT, InvalidArgument, NotFound
 from palimpsest.operators import resolve, runs
-from palimpsest.store import Store
+from palimpsest.store import Service, Store
 
 
 def state(store, snapshot=None):
@@ -54,6 +54,15 @@ def test_reopen_flush_compact_keep_the_state(spark, tmp_path):
     assert got == {"key1": (True, "new1"), "key0": (False, None)}
 
 
+def test_service(spark, tmp_path):
+    service = Service(Store(spark, str(tmp_path)))
+    assert service.put("k", "v") == {"success": True, "error": ""}
+    assert service.get("k") == {"found": True, "value": "v", "error": ""} and service.get("x")["error"] == "Key not found"
+    assert service.delete("k")["success"] and not service.get("k")["found"]
+    bad = service.put(None, "v")
+    assert not bad["success"] and bad["error"]
+
+
 def test_log_without_a_flush_survives(spark, tmp_path):
     Store(spark, str(tmp_path)).put("a", "1")
     assert Store(spark, str(tmp_path)).get("a") == "1"
