@@ -24,6 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that this process has written and not dropped.
+_LEFT: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here and a lost executor costs no recomputation.
 
@@ -34,6 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _LEFT.add(path)
     return out
 
 
@@ -41,9 +46,19 @@ def drop(*tables: DataFrame) -> None:
     """Delete written tables that are no longer read."""
     for df in tables:
         if path := getattr(df, "_scratch", None):
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that are left, once the results that read them are stored."""
+    for path in list(_LEFT):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _LEFT.discard(path)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
