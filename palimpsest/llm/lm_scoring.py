@@ -146,7 +146,8 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     wanted = targets.select(F.col("doc_id").cast("bigint")).filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    counts = written(count(base.join(wanted, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))), "ngrams")
+    # The targets have no bound, so they aren't broadcast at any size.
+    counts = written(count(base.join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))), "ngrams")
     got = counts.toPandas()  # as many rows as the fixed vocabulary has slots, at most
     tables = np.zeros((2, START[-1]))
     tables[0, got["slot"]], tables[1, got["slot"]] = got["target"], got["background"]
