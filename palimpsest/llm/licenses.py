@@ -126,7 +126,10 @@ def scan(docs: DataFrame) -> DataFrame:
         .filter(F.col("common") >= F.col("need"))
     )
     found = met.groupBy("key").agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("size")).alias("best"))
-    out = small.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base", "key").join(found, "key", "left")
+    rows = small.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base", "key")
+    # Most texts keep no block and have no key: they don't meet in one partition of the join.
+    plain = rows.filter("key is null").withColumns({"more": F.lit(None).cast("array<string>"), "best": F.lit(None).cast("double")})
+    out = rows.filter("key is not null").join(found, "key", "left").unionByName(plain)
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     nothing = F.array().cast("array<string>")
     return out.select(
