@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import worker_cache
+from palimpsest.llm.shared import drop, worker_cache, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -216,7 +216,8 @@ def train(labelled: DataFrame) -> Model:
 
     Rows of null text or label are left out; equal texts count once, so copies don't make a stem.
     """
-    rows = labelled.filter("text is not null and toxic is not null").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    rows = labelled.filter("text is not null and toxic is not null").groupBy("text").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = written(rows, "labelled")  # read three times; the documents it comes from once
 
     def beginnings(batches):
         found = Counter()
@@ -227,7 +228,7 @@ def train(labelled: DataFrame) -> Model:
         out = [(s, y, n) for (s, y), n in found.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["stem", "y", "n"])
 
-    counted = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(beginnings, "stem string, y int, n long").groupBy("stem").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("q"))
+    counted = rows.mapInArrow(beginnings, "stem string, y int, n long").groupBy("stem").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("q"))
     got = counted.filter((F.col("p") >= LEAST) & (F.col("q") <= NOISE * F.col("p"))).collect()
     learned = stems_of(Counter({r.stem: r.p for r in got}), Counter({r.stem: r.q for r in got}))
 
@@ -238,12 +239,13 @@ def train(labelled: DataFrame) -> Model:
                 out = [features(t, lex, verdicts) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.list_(pa.float64())), pa.array([w for _, w in out], pa.list_(pa.string())), b.column(1)], ["x", "w", "y"])
 
-        return rows.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(run, "x array<double>, w array<string>, y int").collect()
+        return rows.mapInArrow(run, "x array<double>, w array<string>, y int").collect()
 
     lexicon = (SEED, *learned, ())
     # Correct words that look like misspelled terms: they occur in documents that aren't toxic.
     lexicon = (SEED, *learned, sorted({w for r in measured(lexicon) if not r.y for w in r.w}))
     got = measured(lexicon)
+    drop(rows)
     if not got:
         return Model(lexicon, fit(np.zeros((0, len(FEATURES))), np.zeros(0)))
     return Model(lexicon, fit(np.array([r.x for r in got]), np.array([float(r.y) for r in got])))
