@@ -36,12 +36,12 @@ WORD = re.compile(r"\w+")
 WINDOW = 6
 QUOTES = '"“”„«»'
 #: Words whose verdict a worker keeps.
-CACHE = 500_000
+CACHE = 200_000
 #: Toxic documents that must have a learned stem, and other documents, as a share of those, that may: labels err.
 LEAST, NOISE = 7, 0.12
 #: What weights shrink to: misspelled hits count even where the labelled documents have none.
-PRIOR = (0.0, 3.0, 0.5, 0.0, 0.0, 0.0)
-FEATURES = ("clear", "close", "quoted", "addressed", "dense", "any")
+PRIOR = (0.0, 3.0, 0.5, 0.0, 0.0, 4.0, 0.0)
+FEATURES = ("clear", "close", "quoted", "addressed", "dense", "seed", "learned")
 
 
 def edits(term: str) -> int:
@@ -50,19 +50,20 @@ def edits(term: str) -> int:
 
 
 class Lexicon:
-    """Terms and stems as a trie; ``find(word)`` gives 0 for no hit, 1 for a term or stem as written, 2 for a misspelled term."""
+    """Terms and stems as a trie; ``find(word)`` gives 0 for no hit, 1 for a term as written, 2 for a misspelled one, 3 for a learned word or stem."""
 
     def __init__(self, terms, stems=(), words=(), clean=()):
         self.clean = frozenset(clean)
         self.children: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
         self.stem: list[bool] = [False]
+        self.learned: set[int] = set()
         #: Most edits and shortest rest below a node are not needed: rows prune themselves.
         self.reach: list[int] = [0]
         for word in terms:
             self._add(word, edits(word), False)
         for word in words:
-            self._add(word, 0, False)
+            self.learned.add(self._add(word, 0, False))
         for word in stems:
             self._add(word, 0, True)
         self.states: dict[tuple, int] = {}
@@ -70,7 +71,7 @@ class Lexicon:
         self.accepts: list[int] = []
         self.start = self._state({(0, 0): 0})
 
-    def _add(self, word: str, most: int, stem: bool) -> None:
+    def _add(self, word: str, most: int, stem: bool) -> int:
         node = 0
         self.reach[0] = max(self.reach[0], most)
         for c in word:
@@ -86,6 +87,7 @@ class Lexicon:
             self.stem[node] = True
         else:
             self.term[node] = max(most, self.term[node])
+        return node
 
     def _state(self, positions: dict[tuple[int, int], int]) -> int:
         """A state: the (trie node, edits) it stands at, closed under letters that the word leaves out."""
@@ -106,7 +108,7 @@ class Lexicon:
             hit = 0
             for node, spent in key:
                 if self.term[node] >= 0 and spent <= self.term[node]:
-                    hit = 1 if spent == 0 else hit or 2
+                    hit = (3 if node in self.learned else 1) if spent == 0 else hit or 2
             if any(self.stem[node] and spent == 0 for node, spent in key):
                 hit += 4  # and any letter that follows makes a hit
             self.accepts.append(hit)
@@ -133,7 +135,7 @@ class Lexicon:
         state = self.start
         for c in word:
             if self.accepts[state] >= 4:
-                return 1
+                return 3
             moves = self.moves[state]
             state = moves[c] if c in moves else self._move(state, c)
             if state < 0:
@@ -153,6 +155,7 @@ def features(text: str | None, lexicon: Lexicon, verdicts: dict[str, int]) -> tu
     hits = {w: v for w in distinct if (v := verdicts[w])}
     if not hits:
         return [0.0] * len(FEATURES), []
+    seed = any(v == 1 for v in hits.values())
     clear = close = quoted = addressed = 0
     spans = [m for m in WORD.finditer(lower) if m[0] in hits]
     place = {}
@@ -165,12 +168,12 @@ def features(text: str | None, lexicon: Lexicon, verdicts: dict[str, int]) -> tu
         left, right = lower[max(0, m.start() - 60) : m.start()].split("\n")[-1], lower[m.end() : m.end() + 60].split("\n")[0]
         if (any(q in left for q in QUOTES) and any(q in right for q in QUOTES)) or not SAYING.isdisjoint(near):
             quoted += 1
-        elif hits[m[0]] == 1:
+        elif hits[m[0]] != 2:
             clear += 1
         else:
             close += 1
         addressed += not ADDRESS.isdisjoint(near)
-    x = [math.log1p(clear), math.log1p(close), math.log1p(quoted), math.log1p(addressed), 10 * math.sqrt((clear + quoted + close / 2) / len(words)), float(clear + quoted > 0)]
+    x = [math.log1p(clear), math.log1p(close), math.log1p(quoted), math.log1p(addressed), 10 * math.sqrt((clear + quoted + close / 2) / len(words)), float(seed), float(any(v == 3 for v in hits.values()))]
     return x, [w for w, v in hits.items() if v == 2]
 
 
@@ -193,7 +196,7 @@ def stems_of(pos: Counter, neg: Counter) -> tuple[list[str], list[str]]:
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
     """Logistic regression by Newton's method; the last weight is the intercept.  Without both classes, only the lexicon speaks."""
     if len(set(y.tolist())) < 2:
-        return np.array([1.5, 2.0, 0.5, 0.3, 1.0, 2.0, -3.5])
+        return np.array([1.5, 2.0, 0.5, 0.3, 1.0, 3.0, 2.0, -3.5])
     x = np.column_stack([x, np.ones(len(x))])
     prior, shrink = np.array([*PRIOR, 0.0]), np.array([ridge] * len(PRIOR) + [1e-9])
     w = prior.copy()

@@ -90,7 +90,7 @@ def test_automaton_against_edit_distance():
         tried.append("".join(w))
     for w in tried:
         near = [distance(w, t) for t in terms if distance(w, t) <= toxicity.edits(t)]
-        want = 0 if w == "closer" else 1 if w in terms + exact or any(w.startswith(s) and w != s for s in stems) else 2 if near else 0
+        want = 0 if w == "closer" else 3 if any(w.startswith(s) and w != s for s in stems) or w in exact else 1 if w in terms else 2 if near else 0
         assert lex.find(w) == want, w
 
 
@@ -100,7 +100,7 @@ def test_context_separates_quotation_from_abuse():
     y, fuzzy = toxicity.features("you are an idiot and a looser", lex, {})
     f = dict(zip(toxicity.FEATURES, x)), dict(zip(toxicity.FEATURES, y))
     assert f[0]["quoted"] > 0 and f[0]["clear"] == 0 and f[1]["clear"] > 0 and f[1]["addressed"] > 0 and f[1]["close"] > 0 and fuzzy == ["looser"]
-    assert toxicity.features(None, lex, {}) == toxicity.features("", lex, {}) == ([0.0] * 6, [])
+    assert toxicity.features(None, lex, {}) == toxicity.features("", lex, {}) == ([0.0] * 7, [])
 
 
 def test_toxicity_of_held_out_rows(spark):
