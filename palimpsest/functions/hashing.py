@@ -14,33 +14,44 @@ BITS_PER_KEY = 10
 FEWEST_BITS = 64
 
 
-def _times(h: Column) -> Column:
-    """h * MULTIPLIER mod 2^32; by halves, as the whole product would overflow."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _times(value: Column) -> Column:
+    """value * MULTIPLIER mod 2^32 of the value mod 2^32; by halves, as the whole product would overflow."""
     low, high = MULTIPLIER & 0xFFFF, MULTIPLIER >> 16
-    cross = F.shiftleft((F.shiftright(h, 16) * low + h.bitwiseAND(F.lit(0xFFFF)) * high).bitwiseAND(F.lit(0xFFFF)), 16)
-    return (h.bitwiseAND(F.lit(0xFFFF)) * low + cross).bitwiseAND(F.lit(MASK))
+
+    def product(h):
+        cross = F.shiftleft((F.shiftright(h, 16) * low + h.bitwiseAND(F.lit(0xFFFF)) * high).bitwiseAND(F.lit(0xFFFF)), 16)
+        return (h.bitwiseAND(F.lit(0xFFFF)) * low + cross).bitwiseAND(F.lit(MASK))
+
+    return _let(value.bitwiseAND(F.lit(MASK)), product)
+
+
+def _mixed(value: Column, shift: int) -> Column:
+    return _let(_times(value), lambda g: g.bitwiseXOR(F.shiftright(g, shift)))
 
 
 def key_hash(key: Column, seed: int = BLOOM_SEED) -> Column:
     """The hash of a text's UTF-8 bytes, as a non-negative bigint."""
-    text = F.hex(F.encode(key, "utf-8"))
-    n = F.octet_length(key)
-    byte = lambda i: F.conv(F.substring(text, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint")
+    return _let(F.hex(F.encode(key, "utf-8")), lambda text: _hash_of_hex(text, seed))
+
+
+def _hash_of_hex(text: Column, seed: int) -> Column:
+    n = F.floor(F.length(text) / 2).cast("int")
+    whole, rest = F.floor(n / 4).cast("int"), F.pmod(n, F.lit(4))
+
+    def little(at: Column, size: int) -> Column:
+        """The integer of ``size`` bytes from byte ``at`` on, lowest first."""
+        return F.conv(F.concat(*[F.substring(text, 2 * (at + k) + 1, F.lit(2)) for k in reversed(range(size))]), 16, 10).cast("bigint")
+
+    words = F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), lambda i: little(4 * i, 4))).otherwise(F.array().cast("array<bigint>"))
     start = F.lit(seed).cast("bigint").bitwiseXOR(_times(n.cast("bigint")))
-    words = F.floor(n / 4).cast("int")
-
-    def mix(h, i):
-        w = byte(4 * i) + byte(4 * i + 1) * 256 + byte(4 * i + 2) * 65536 + byte(4 * i + 3) * 16777216
-        g = _times((h + w).bitwiseAND(F.lit(MASK)))
-        return g.bitwiseXOR(F.shiftright(g, 16))
-
-    body = F.aggregate(F.filter(F.sequence(F.lit(0), F.greatest(words - 1, F.lit(0))), lambda i: i < words), start, mix)
-    rest = F.pmod(n, F.lit(4))
-    tail = body
-    for k, shift in ((2, 16), (1, 8), (0, 0)):
-        tail = tail + F.when(rest > k, byte(words * 4 + k) * (1 << shift)).otherwise(0)
-    g = _times(tail.bitwiseAND(F.lit(MASK)))
-    return F.when(rest == 0, body).otherwise(g.bitwiseXOR(F.shiftright(g, 24)))
+    body = F.aggregate(words, start, lambda h, w: _mixed(h + w, 16))
+    last = F.when(rest == 1, little(4 * whole, 1)).when(rest == 2, little(4 * whole, 2)).otherwise(little(4 * whole, 3))
+    return F.when(rest == 0, body).otherwise(_mixed(body + last, 24))
 
 
 def cache_shard(h: Column) -> Column:
