@@ -118,6 +118,26 @@ def likeness(a: bytes, b: bytes) -> float:
     return float(max(0.0, (w[x == y].sum() / w.sum() - CHANCE) / (1 - CHANCE)))
 
 
+#: Sampled places of every band, by octave.
+_PLACES: dict[int, np.ndarray] = {}
+
+
+def _places(octave: int) -> np.ndarray:
+    if octave not in _PLACES:
+        upto = max(SAMPLES * octave, 1)
+        draw, p = np.random.default_rng([9, octave]), weights(upto) / weights(upto).sum()
+        _PLACES[octave] = np.array([draw.choice(upto, min(BAND, upto), replace=False, p=p) for _ in range(BANDS)])
+    return _PLACES[octave]
+
+
+def band_keys(fp: bytes) -> list[tuple[int, int, bytes]]:
+    """(octave, band, sampled bytes): each band samples BAND of the steps below the last full octave, and below the one before,
+    so that texts on either side of an octave's end still meet."""
+    full = len(fp) // SAMPLES
+    values = np.frombuffer(fp or b"\0", np.uint8)
+    return [(o, k, row.tobytes()) for o in ((full, full - 1) if full > 1 else (full,)) for k, row in enumerate(values[_places(o)])]
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last quarter of characters replaced by the first as many (or all) of the following text."""
     k = len(text) // 4
@@ -125,7 +145,8 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs(doc_id, text)``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """For each row of ``docs(doc_id, text)``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next, and bands_edited, bands_next: how many bands the fingerprint shares with the edited text's and the next one's.
 
     Null text is empty; documents are in ascending order of doc_id (null ids first, equal ids by a hash of the text) and
     the first follows the last, so a single document follows itself.  An empty table gives no rows.
@@ -143,7 +164,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     # One row a range: bounded by the number of partitions.
     least = sorted(tuple(r) for r in base.select("key").withColumn("part", range_of("key")).groupBy("part").agg(F.min("key")).collect())
     if not least:
-        return spark.createDataFrame([], "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        return spark.createDataFrame([], "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited bigint, bands_next bigint")
     before = spark.createDataFrame([(least[k - 1][0], least[k][1]) for k in range(len(least))], "part int, key bigint")
     text_hash = F.xxhash64("text")
     first = base.join(F.broadcast(before.select("key").distinct()), "key").groupBy("key").agg(F.min(F.struct(text_hash.alias("h"), "doc_id", "text")).alias("f"))
@@ -170,30 +191,16 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         texts = [r[3] for r in rows]
         changed = [edited(texts[i], texts[i + 1]) for i in pairs]
         fp = fingerprints(texts + changed, bits, steps) if pairs else []
+        keys = [set(band_keys(f)) for f in fp]
         out = []
         for k, i in enumerate(pairs):
             a, e = fp[i], fp[len(texts) + k]
-            out.append((rows[i][2], len(texts[i]), hashlib.sha256(changed[k].encode("utf-8", "surrogatepass")).hexdigest(), a.hex(), e.hex(), likeness(a, e), likeness(a, fp[i + 1])))
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+            out.append((rows[i][2], len(texts[i]), hashlib.sha256(changed[k].encode("utf-8", "surrogatepass")).hexdigest(), a.hex(), e.hex(), likeness(a, e), likeness(a, fp[i + 1]), len(keys[i] & keys[len(texts) + k]), len(keys[i] & keys[i + 1])))
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands_edited", "bands_next"]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names)
 
-    return ordered.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def band_keys(fp: bytes, seed: int = 9) -> list[tuple[int, int, bytes]]:
-    """(octave, band, sampled bytes): each band samples BAND of the steps below the last full octave, and below the one before,
-    so that texts on either side of an octave's end still meet."""
-    keys = []
-    full = len(fp) // SAMPLES
-    for octave in {full, full - 1} if full > 1 else {full}:
-        upto = max(SAMPLES * octave, 1)
-        p = weights(upto) / weights(upto).sum()
-        draw = np.random.default_rng([seed, max(octave, 0)])
-        for band in range(BANDS):
-            at = draw.choice(upto, min(BAND, upto), replace=False, p=p)
-            keys.append((octave, band, bytes(fp[i] if i < len(fp) else 0 for i in at)))
-    return keys
+    return ordered.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited bigint, bands_next bigint")
 
 
 def near_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:

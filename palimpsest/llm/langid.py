@@ -87,12 +87,12 @@ class Model:
         return names, scores
 
 
-def fit(texts: list[str], languages: list[str], landmarks: int = 200, ridge: float = 1e-3, seed: int = 5) -> Model:
+def fit(texts: list[str], languages: list[str], landmarks: int = 200, ridge: float = 1e-2, seed: int = 5) -> Model:
     """A model of texts in memory."""
     return fit_rows(presence(texts), languages, landmarks, ridge, seed)
 
 
-def fit_rows(rows: np.ndarray, languages: list[str], landmarks: int = 200, ridge: float = 1e-3, seed: int = 5) -> Model:
+def fit_rows(rows: np.ndarray, languages: list[str], landmarks: int = 200, ridge: float = 1e-2, seed: int = 5) -> Model:
     """Nyström landmarks are drawn alike from every language; ridge regression of 0/1 targets on the mapped kernel."""
     names = sorted(set(languages))
     size = np.array([np.count_nonzero(r) for r in rows])

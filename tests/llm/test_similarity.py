@@ -120,7 +120,10 @@ def test_edit_embedding_rows(docs, texts):
         r = got[d]
         assert (r.n_chars, r.edited_sha256, r.fingerprint) == (len(texts[d]), hashlib.sha256(e.encode()).hexdigest(), alone[d].hex())
         assert r.near_next == pytest.approx(ee.likeness(alone[d], alone[after]))
+        shared = set(ee.band_keys(alone[d])) & set(ee.band_keys(alone[after]))
+        assert r.bands_next == len(shared) and (texts[d] != texts[after] or r.bands_next >= ee.BANDS)
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.97
+    assert np.mean([r.bands_edited for r in got.values()]) > 1 > np.mean([r.bands_next for r in got.values()])
 
 
 def test_edits_change_little_and_strangers_are_far():
