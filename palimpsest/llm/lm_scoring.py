@@ -25,7 +25,7 @@ START = tuple(sum(1 << b for b in BITS[:k]) for k in range(len(BITS) + 1))
 #: Weight of the lower order's prediction, in counts.
 MU = np.float32(4.0)
 #: Characters worked on at once.
-SPAN = 1 << 18
+SPAN = 1 << 19
 ORDER = len(BITS)
 
 
@@ -91,12 +91,11 @@ def count(docs: DataFrame) -> DataFrame:
             flag = np.array(b.column(1).to_pylist(), bool)
             for i, n, code, real in spans(b.column(0).to_pylist()):
                 wanted = np.repeat(flag[i], n)
-                for s in slots(code):
+                for k, s in enumerate(slots(code)):
                     s = s[real]
-                    background += np.bincount(s, minlength=START[-1]) if len(s) > 1 << 17 else _add(background, s)
+                    _tally(background, k, s)
                     if wanted.any():
-                        t = s[wanted]
-                        target += np.bincount(t, minlength=START[-1]) if len(t) > 1 << 17 else _add(target, t)
+                        _tally(target, k, s[wanted])
         for k in range(0, START[-1], 1 << 16):
             at = np.flatnonzero(background[k : k + (1 << 16)]) + k
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(target[at]), pa.array(background[at])], ["slot", "target", "background"])
@@ -104,9 +103,10 @@ def count(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "slot int, target long, background long").groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def _add(to: np.ndarray, at: np.ndarray):
-    np.add.at(to, at, 1)
-    return 0
+def _tally(counts: np.ndarray, k: int, slot: np.ndarray) -> None:
+    """Count the slots of the k-th order, in its part of the vocabulary."""
+    part = counts[START[k] : START[k + 1]]
+    part += np.bincount(slot - START[k], minlength=len(part))
 
 
 class Model:
