@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, langid, packing, simhash, toxicity
+from palimpsest.llm import decontaminate, langid, near_copies, packing, toxicity
 from palimpsest.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,10 +36,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash component the document of the smallest doc_id, one row of it; of documents of null doc_id that
-    link to none with one, one row for each fingerprint."""
+    """Keeps of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document of the
+    smallest doc_id, one row of it; of documents of null doc_id that link to none with one, one row for each fingerprint."""
     docs = _documents(docs)
-    found = written(simhash.near_duplicates(docs), "near")
+    found = written(near_copies.near_copies(docs), "near")
     kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     rows = docs.join(kept, "doc_id")
     out = rows.filter("_rows = 1")
@@ -53,7 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def _nameless(docs: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """One document without doc_id for each of the fingerprints."""
     one = written(docs.dropDuplicates(["text"]).withColumn("_key", F.xxhash64("text")), "nameless")
-    prints = simhash.fingerprint(one.select(F.col("_key").alias("doc_id"), "text"))
+    prints = near_copies.fingerprint(one.select(F.col("_key").alias("doc_id"), "text"))
     named = prints.select(F.col("doc_id").alias("_key"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).dropDuplicates(["_key"])
     return _documents(one.join(named, "_key").join(fingerprints, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]))
 
