@@ -1,12 +1,12 @@
 """Toxicity: a lexicon found by Levenshtein automata, scored in context.
 
-The lexicon is a trie of whole terms and of stems.  The automaton that accepts every word within a term's number of
-edits is intersected with the trie into one deterministic automaton, built as words ask for it; stems take any ending, of
-one letter or more, and no edit.
+The lexicon is a trie of seed terms and of words and stems learned from labelled documents.  The automaton that accepts
+every word within a term's number of edits is intersected with the trie into one deterministic automaton, built as words
+ask for it; a stem, misspelled or not, takes any ending of one letter or more.  A misspelled hit counts as its term does,
+less a part for every edit.  What the labelled documents say of a misspelled form, or of all forms of a term, lowers its
+strength: forms at home in documents that aren't toxic are correct words that happen to be near.
 Hits near quotation marks or verbs of saying count as quotations, hits near forms of address as abuse; a logistic
-regression over the counts gives the score.
-
-Terms: a seed list, and stems and words learned from labelled documents: common in toxic ones and rare in others.
+regression over the strengths gives the score.
 """
 
 from __future__ import annotations
@@ -35,146 +35,149 @@ SAYING = frozenset("said says say saying wrote writes called calls quote quoted
 WORD = re.compile(r"\w+")
 WINDOW = 6
 QUOTES = '"“”„«»'
-#: Words whose verdict a worker keeps.
-CACHE = 200_000
+#: Words whose verdict a worker keeps, and the longest it keeps.  Words of any length are looked up.
+CACHE, KEPT = 200_000, 64
 #: Toxic documents that must have a learned stem, and other documents, as a share of those, that may: labels err.
 LEAST, NOISE = 7, 0.12
-#: What weights shrink to: misspelled hits count even where the labelled documents have none.
-PRIOR = (0.0, 3.0, 0.5, 0.0, 0.0, 4.0, 0.0)
-FEATURES = ("clear", "close", "quoted", "addressed", "dense", "seed", "learned")
+#: Letters of the shortest stem; beginnings are counted in levels of so many more letters, as long as any is in question.
+SHORTEST, LEVEL = 4, 6
+#: Strength of a hit by its number of edits.
+STRENGTH = (1.0, 0.85, 0.7)
+#: A misspelled form, and all those of a term, keep the share of toxic documents among those that have it (one more is
+#: granted); under this share they are silent.
+SILENT = 0.5
+FEATURES = ("seed", "learned", "abuse", "quoted", "addressed", "dense")
 
 
-def edits(term: str) -> int:
-    """Edits allowed in a whole term: none below five letters, one below eight, else two."""
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+def edits(term: str, most: int = 2) -> int:
+    """Edits allowed in a term: none below five letters, one below eight, else two; at most ``most``."""
+    return min(most, 0 if len(term) < 5 else 1 if len(term) < 8 else 2)
 
 
 class Lexicon:
-    """Terms and stems as a trie; ``find(word)`` gives 0 for no hit, 1 for a term as written, 2 for a misspelled one, 3 for a learned word or stem."""
+    """``terms`` are (text, kind, edits) with a kind of ``seed``, ``word`` or ``stem``; ``forms`` maps misspelled words to a
+    share of their strength.  ``find(word)`` gives (term number, edits) of the hit with the fewest edits, of the first term
+    among several, or None."""
 
-    def __init__(self, terms, stems=(), words=(), clean=()):
-        self.clean = frozenset(clean)
+    def __init__(self, terms, forms=None):
+        self.terms, self.forms = list(terms), dict(forms or {})
         self.children: list[dict[str, int]] = [{}]
-        self.term: list[int] = [-1]
-        self.stem: list[bool] = [False]
-        self.learned: set[int] = set()
-        #: Most edits and shortest rest below a node are not needed: rows prune themselves.
+        #: Terms that end at a node, and the most edits of any term below it: positions beyond that are dropped.
+        self.ends: list[list[int]] = [[]]
         self.reach: list[int] = [0]
-        for word in terms:
-            self._add(word, edits(word), False)
-        for word in words:
-            self.learned.add(self._add(word, 0, False))
-        for word in stems:
-            self._add(word, 0, True)
+        for number, (text, _, most) in enumerate(self.terms):
+            node = 0
+            self.reach[0] = max(self.reach[0], most)
+            for c in text:
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.ends.append([])
+                    self.reach.append(0)
+                node = self.children[node][c]
+                self.reach[node] = max(self.reach[node], most)
+            self.ends[node].append(number)
         self.states: dict[tuple, int] = {}
+        self.positions: list[tuple] = []
         self.moves: list[dict[str, int]] = []
-        self.accepts: list[int] = []
-        self.start = self._state({(0, 0): 0})
-
-    def _add(self, word: str, most: int, stem: bool) -> int:
-        node = 0
-        self.reach[0] = max(self.reach[0], most)
-        for c in word:
-            if c not in self.children[node]:
-                self.children[node][c] = len(self.children)
-                self.children.append({})
-                self.term.append(-1)
-                self.stem.append(False)
-                self.reach.append(0)
-            node = self.children[node][c]
-            self.reach[node] = max(self.reach[node], most)
-        if stem:
-            self.stem[node] = True
-        else:
-            self.term[node] = max(most, self.term[node])
-        return node
-
-    def _state(self, positions: dict[tuple[int, int], int]) -> int:
-        """A state: the (trie node, edits) it stands at, closed under letters that the word leaves out."""
-        todo, closed = list(positions), set(positions)
+        #: (edits, term) of the best whole term that a state accepts, and of the best stem that any letter completes.
+        self.whole: list[tuple | None] = []
+        self.stems: list[tuple | None] = []
+        self.start = self._state({0: 0})
+
+    def _state(self, best: dict[int, int]) -> int:
+        """The state that stands at the nodes, each with the fewest edits spent, closed under letters that the word leaves out."""
+        todo = list(best)
         while todo:
-            node, spent = todo.pop()
+            node = todo.pop()
+            spent = best[node] + 1
             for child in self.children[node].values():
-                if spent < self.reach[child] and (child, spent + 1) not in closed:
-                    closed.add((child, spent + 1))
-                    todo.append((child, spent + 1))
-        best: dict[int, int] = {}
-        for node, spent in closed:
-            best[node] = min(spent, best.get(node, 99))
+                if spent <= self.reach[child] and spent < best.get(child, 99):
+                    best[child] = spent
+                    todo.append(child)
         key = tuple(sorted(best.items()))
         if key not in self.states:
             self.states[key] = len(self.moves)
+            self.positions.append(key)
             self.moves.append({})
-            hit = 0
-            for node, spent in key:
-                if self.term[node] >= 0 and spent <= self.term[node]:
-                    hit = (3 if node in self.learned else 1) if spent == 0 else hit or 2
-            if any(self.stem[node] and spent == 0 for node, spent in key):
-                hit += 4  # and any letter that follows makes a hit
-            self.accepts.append(hit)
-            self.moves[-1][""] = key
+            found = [(spent, number) for node, spent in key for number in self.ends[node] if spent <= self.terms[number][2]]
+            self.whole.append(min((x for x in found if self.terms[x[1]][1] != "stem"), default=None))
+            self.stems.append(min((x for x in found if self.terms[x[1]][1] == "stem"), default=None))
         return self.states[key]
 
     def _move(self, state: int, c: str) -> int:
-        reached: dict[tuple[int, int], int] = {}
-        for node, spent in self.moves[state][""]:
-            if node and spent < self.reach[node] or not node and spent < self.reach[0]:
-                reached[node, spent + 1] = 0  # a letter too many
+        best: dict[int, int] = {}
+        for node, spent in self.positions[state]:
+            if spent < self.reach[node] and spent + 1 < best.get(node, 99):
+                best[node] = spent + 1  # a letter too many
             for letter, child in self.children[node].items():
-                if letter == c:
-                    reached[child, spent] = 0
-                elif spent < self.reach[child]:
-                    reached[child, spent + 1] = 0
-        to = self._state(reached) if reached else -1
-        self.moves[state][c] = to
+                cost = spent + (letter != c)
+                if cost <= self.reach[child] and cost < best.get(child, 99):
+                    best[child] = cost
+        self.moves[state][c] = to = self._state(best) if best else -1
         return to
 
-    def find(self, word: str) -> int:
-        if word in self.clean:
-            return 0
-        state = self.start
+    def find(self, word: str) -> tuple[int, int] | None:
+        state, best = self.start, (99, 0)
         for c in word:
-            if self.accepts[state] >= 4:
-                return 3
+            best = min(best, self.stems[state] or best)
             moves = self.moves[state]
             state = moves[c] if c in moves else self._move(state, c)
             if state < 0:
-                return 0
-        return self.accepts[state] & 3
+                break
+        else:
+            best = min(best, self.whole[state] or best)
+        return (best[1], best[0]) if best[0] < 99 else None
 
+    def strength(self, word: str, number: int, spent: int) -> float:
+        return STRENGTH[spent] * (self.forms.get(word, 1.0) if spent else 1.0)
 
-def features(text: str | None, lexicon: Lexicon, verdicts: dict[str, int]) -> tuple[list[float], list[str]]:
-    """The document's FEATURES and its misspelled hits; null, empty and wordless texts have none."""
-    lower = (text or "").lower()
-    words = WORD.findall(lower)
-    distinct = set(words)
+
+def hits_of(words, lexicon: Lexicon, verdicts: dict) -> dict[str, tuple[int, int]]:
+    """The hit of every distinct word that has one."""
     if len(verdicts) > CACHE:
         verdicts.clear()
-    for w in distinct.difference(verdicts):
-        verdicts[w] = lexicon.find(w) if len(w) < 64 else 0
-    hits = {w: v for w in distinct if (v := verdicts[w])}
+    out = {}
+    for w in words:
+        if w in verdicts:
+            hit = verdicts[w]
+        else:
+            hit = lexicon.find(w)
+            if len(w) <= KEPT:
+                verdicts[w] = hit
+        if hit:
+            out[w] = hit
+    return out
+
+
+def features(text: str | None, lexicon: Lexicon, verdicts: dict) -> list[float]:
+    """The document's FEATURES; null, empty and wordless texts have none.
+
+    seed and learned: the greatest strength of such a hit outside quotations; abuse, quoted and addressed: the logarithm of
+    1 and the sum of strengths of hits outside quotations, inside them, and near a form of address; dense: of all a word.
+    """
+    lower = (text or "").lower()
+    words = WORD.findall(lower)
+    hits = {w: (lexicon.terms[n][1], s) for w, (n, e) in hits_of(set(words), lexicon, verdicts).items() if (s := lexicon.strength(w, n, e))}
     if not hits:
-        return [0.0] * len(FEATURES), []
-    seed = any(v == 1 for v in hits.values())
-    clear = close = quoted = addressed = 0
-    spans = [m for m in WORD.finditer(lower) if m[0] in hits]
-    place = {}
-    for k, w in enumerate(words):
-        if w in hits:
-            place.setdefault(w, []).append(k)
-    order = sorted(k for ks in place.values() for k in ks)
-    for k, m in zip(order, spans):
+        return [0.0] * len(FEATURES)
+    seed = learned = abuse = quoted = addressed = 0.0
+    order = [k for k, w in enumerate(words) if w in hits]
+    for k, m in zip(order, (m for m in WORD.finditer(lower) if m[0] in hits)):
+        kind, strength = hits[m[0]]
         near = words[max(0, k - WINDOW) : k + WINDOW + 1]
         left, right = lower[max(0, m.start() - 60) : m.start()].split("\n")[-1], lower[m.end() : m.end() + 60].split("\n")[0]
         if (any(q in left for q in QUOTES) and any(q in right for q in QUOTES)) or not SAYING.isdisjoint(near):
-            quoted += 1
-        elif hits[m[0]] != 2:
-            clear += 1
+            quoted += strength
         else:
-            close += 1
-        addressed += not ADDRESS.isdisjoint(near)
-    x = [math.log1p(clear), math.log1p(close), math.log1p(quoted), math.log1p(addressed), 10 * math.sqrt((clear + quoted + close / 2) / len(words)), float(seed), float(any(v == 3 for v in hits.values()))]
-    return x, [w for w, v in hits.items() if v == 2]
+            abuse += strength
+            if kind == "seed":
+                seed = max(seed, strength)
+            else:
+                learned = max(learned, strength)
+        if not ADDRESS.isdisjoint(near):
+            addressed += strength
+    return [seed, learned, math.log1p(abuse), math.log1p(quoted), math.log1p(addressed), 10 * math.sqrt((abuse + quoted) / len(words))]
 
 
 def stems_of(pos: Counter, neg: Counter) -> tuple[list[str], list[str]]:
@@ -193,16 +196,40 @@ def stems_of(pos: Counter, neg: Counter) -> tuple[list[str], list[str]]:
     return sorted(stems), words
 
 
+def evidence(terms: list[tuple], seen: list[tuple], toxic: int, others: int) -> tuple[list[tuple], dict[str, float]]:
+    """(terms, forms) after what labelled documents show: ``seen`` has (term number, edits, form, toxic documents, other
+    documents) of every misspelled form, out of ``toxic`` and ``others`` documents.
+
+    A form's strength shrinks to the share of toxic documents among those that have it, at equal numbers of both kinds and
+    with one more toxic one; below SILENT it is 0.  The same share over all remaining forms of a term and a number of
+    edits, if below SILENT, takes that number of edits from the term.  One document alone silences nothing.
+    """
+    ratio = max(1.0, others / max(1, toxic))
+    share = lambda p, q: (p * ratio + 1) / (p * ratio + 1 + q)
+    forms, sums = {}, {}
+    for number, spent, form, p, q in seen:
+        forms[form] = share(p, q) if share(p, q) >= SILENT else 0.0
+        if forms[form]:
+            at = sums.setdefault((number, spent), [0, 0])
+            at[0] += p
+            at[1] += q
+    most = {}
+    for (number, spent), (p, q) in sums.items():
+        if share(p, q) < SILENT:
+            most[number] = min(spent - 1, most.get(number, 99))
+    return [(t, kind, min(m, most.get(k, 99))) for k, (t, kind, m) in enumerate(terms)], {f: s for f, s in forms.items() if s < 1}
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
     """Logistic regression by Newton's method; the last weight is the intercept.  Without both classes, only the lexicon speaks."""
     if len(set(y.tolist())) < 2:
-        return np.array([1.5, 2.0, 0.5, 0.3, 1.0, 3.0, 2.0, -3.5])
+        return np.array([3.0, 3.0, 1.0, -1.0, 0.3, 0.5, -3.5])
     x = np.column_stack([x, np.ones(len(x))])
-    prior, shrink = np.array([*PRIOR, 0.0]), np.array([ridge] * len(PRIOR) + [1e-9])
-    w = prior.copy()
+    shrink = np.array([ridge] * len(FEATURES) + [1e-9])
+    w = np.zeros(len(shrink))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink) + 1e-9 * np.eye(len(w)), x.T @ (p - y) + shrink * (w - prior))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink) + 1e-9 * np.eye(len(w)), x.T @ (p - y) + shrink * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -210,44 +237,73 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> n
 
 
 class Model:
+    """``lexicon`` holds the arguments of a Lexicon."""
+
     def __init__(self, lexicon: tuple, weight: np.ndarray):
         self.lexicon, self.weight = lexicon, weight
 
 
-def train(labelled: DataFrame) -> Model:
-    """Learn from ``labelled(text, toxic)``, a bounded sample: stems from its word beginnings, then the weights.
+def learned_terms(rows: DataFrame) -> tuple[list[str], list[str]]:
+    """Stems and words of ``rows(text, toxic)``, a bounded sample.  Beginnings are counted level by level: longer ones only
+    of what many toxic documents have in common and no stem decides yet."""
+    pos, neg = Counter(), Counter()
+    low, wanted = SHORTEST, None
+    while True:
+        high = low + LEVEL
+
+        def beginnings(batches, low=low, high=high, wanted=wanted):
+            found = Counter()
+            for b in batches:
+                for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    distinct = set(WORD.findall(text.lower())).difference(SEED)
+                    if wanted is not None:
+                        distinct = {w for w in distinct if len(w) > low and w[: low - 1] in wanted}
+                    marks = {w[:k] + "+" for w in distinct for k in range(low, min(len(w), high))}
+                    if wanted is None:
+                        marks |= {w + "$" for w in distinct if len(w) >= 3}
+                    found.update((m, y) for m in marks)
+            out = [(s, y, n) for (s, y), n in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["stem", "y", "n"])
+
+        counted = rows.mapInArrow(beginnings, "stem string, y int, n long").groupBy("stem").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("q"))
+        got = counted.filter(F.col("p") >= LEAST).filter((F.col("q") <= NOISE * F.col("p")) | (F.length("stem") == high)).collect()
+        pos.update({r.stem: r.p for r in got})
+        neg.update({r.stem: r.q for r in got})
+        stems, words = stems_of(pos, neg)
+        # Beginnings of the greatest length so far that are common, but not only in toxic documents, may still grow into a stem.
+        wanted = {r.stem[:-1] for r in got if r.stem[-1] == "+" and len(r.stem) == high and not any(r.stem[:k] in stems for k in range(1, high))}
+        if not wanted:
+            return stems, words
+        low = high
+
+
+def train(labelled: DataFrame, most: int = 2) -> Model:
+    """Learn from ``labelled(text, toxic)``, a bounded sample: terms from its word beginnings, then which misspelled forms
+    count, then the weights.  A term has at most ``most`` edits.
 
     Rows of null text or label are left out; equal texts count once, so copies don't make a stem.
     """
     rows = labelled.filter("text is not null and toxic is not null").groupBy("text").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = written(rows, "labelled")  # read three times; the documents it comes from once
+    rows = written(rows, "labelled")  # read several times; the documents it comes from once
+    size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    stems, words = learned_terms(rows)
+    terms = [(t, kind, edits(t, most)) for kind, group in (("seed", SEED), ("word", words), ("stem", stems)) for t in group]
 
-    def beginnings(batches):
-        found = Counter()
+    def misspelled(batches):
+        lex, verdicts = Lexicon(terms), {}
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                distinct = set(WORD.findall(text.lower())).difference(SEED)
-                found.update({(w[:k] + "+", y) for w in distinct for k in range(4, min(len(w), 10))} | {(w + "$", y) for w in distinct if 3 <= len(w) < 64})
-        out = [(s, y, n) for (s, y), n in found.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["stem", "y", "n"])
-
-    counted = rows.mapInArrow(beginnings, "stem string, y int, n long").groupBy("stem").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("q"))
-    got = counted.filter((F.col("p") >= LEAST) & (F.col("q") <= NOISE * F.col("p"))).collect()
-    learned = stems_of(Counter({r.stem: r.p for r in got}), Counter({r.stem: r.q for r in got}))
-
-    def measured(lexicon):
-        def run(batches):
-            lex, verdicts = Lexicon(*lexicon), {}
-            for b in batches:
-                out = [features(t, lex, verdicts) for t in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.list_(pa.float64())), pa.array([w for _, w in out], pa.list_(pa.string())), b.column(1)], ["x", "w", "y"])
+            out = [(n, e, w, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w, (n, e) in hits_of(set(WORD.findall(t.lower())), lex, verdicts).items() if e]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int32()))], ["term", "edits", "form", "y"])
 
-        return rows.mapInArrow(run, "x array<double>, w array<string>, y int").collect()
+    seen = rows.mapInArrow(misspelled, "term int, edits int, form string, y int").groupBy("term", "edits", "form").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("q"))
+    lexicon = evidence(terms, sorted(map(tuple, seen.collect())), size.get(1, 0), sum(size.values()) - size.get(1, 0))
 
-    lexicon = (SEED, *learned, ())
-    # Correct words that look like misspelled terms: they occur in documents that aren't toxic.
-    lexicon = (SEED, *learned, sorted({w for r in measured(lexicon) if not r.y for w in r.w}))
-    got = measured(lexicon)
+    def measured(batches):
+        lex, verdicts = Lexicon(*lexicon), {}
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([features(t, lex, verdicts) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], ["x", "y"])
+
+    got = rows.mapInArrow(measured, "x array<double>, y int").collect()
     drop(rows)
     if not got:
         return Model(lexicon, fit(np.zeros((0, len(FEATURES))), np.zeros(0)))
@@ -255,17 +311,21 @@ def train(labelled: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column ``name`` added: 0 to 1, higher for toxic; null and empty texts get the score of a text without hits."""
+    """``docs`` with a column ``name``: 0 to 1, higher for toxic; null and empty texts get the score of a text without hits.
+
+    Whole texts of any length are read; rows that repeat have equal scores; a column that is called ``name`` already is
+    replaced, all others are kept; an empty table gives no rows.
+    """
     lexicon, weight = model.lexicon, model.weight
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         lex = worker_cache(f"lexicon:{lexicon_key}", lambda: (Lexicon(*lexicon), {}))
-        x = np.array([features(t, *lex)[0] for t in texts], float).reshape(len(texts), len(FEATURES))
-        return pd.Series(1 / (1 + np.exp(-(x @ weight[:-1] + weight[-1]))))
+        x = np.array([features(t, *lex) for t in texts], float).reshape(len(texts), len(FEATURES))
+        return pd.Series(1 / (1 + np.exp(-np.clip(x @ weight[:-1] + weight[-1], -500, 500))))
 
-    lexicon_key = zlib.crc32("|".join(map(" ".join, lexicon)).encode())
-    return docs.withColumn(name, of(F.col(text)))
+    lexicon_key = zlib.crc32(repr(lexicon).encode())
+    return docs.withColumn(name, of(F.col(text).cast("string")))
 
 
 def sample(docs: DataFrame, labels: DataFrame, held_out, most: int) -> DataFrame:
@@ -287,7 +347,8 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Dat
     """One row for each row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted.
 
     Labels are learned only from rows that are not held out (crc32 of doc_id as text mod 5 is 0), at most about ``most``
-    of them.  Null doc_ids are not held out; an empty table gives no rows.
+    of them.  Null doc_ids are not held out; null and empty texts have the score of a text without hits; rows that repeat,
+    ties and texts of any length are scored each as it is; other columns are ignored; an empty table gives no rows.
     """
     model = train(sample(docs, labels, held_out, most))
     base = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
