@@ -1,7 +1,8 @@
 """Best-fit packing by hierarchical residual packing.
 
 Every partition best-fits its own pieces and emits the bins that are nearly full.  The bins that are not travel on as
-items: rounds of groups of bounded size best-fit them again, as a tree, until one group holds what is left.
+items: rounds of groups of bounded size, dealt anew each time, best-fit them again, as a tree, until one group holds what
+is left or no two bins fit together.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from palimpsest.llm.tokens import encoder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: A round that merges fewer than one in so many bins, and the next one too, are the last.
+STALLED = 10_000
+
 BIN = "fill int, closed boolean, doc array<bigint>, piece array<int>, length array<int>, crc array<bigint>, at array<int>, ids array<binary>"
 BIN_ARROW = pa.schema([("fill", pa.int32()), ("closed", pa.bool_()), ("doc", pa.list_(pa.int64())), ("piece", pa.list_(pa.int32())), ("length", pa.list_(pa.int32())), ("crc", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("ids", pa.list_(pa.binary()))])
 
@@ -65,7 +69,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids (unsigned 32-bit ids; null unless ``keep_ids``).
     Null text is empty, so it is the end id alone.  Rows that repeat, and null doc_ids, are packed each for itself; an
-    empty table gives no rows.  Bins with at most ``slack`` free places are emitted at once; a task holds at most
+    empty table gives no rows; texts of any length are cut into as many pieces as they need, and equal sizes fall in any
+    order.  Bins with at most ``slack`` free places are emitted at once; a task holds at most
     ``local`` pieces or ``group`` bins at a time.
     """
     import numpy as np
@@ -95,15 +100,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     level = written(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(first, BIN), "pack")
     full = [level.filter("closed")]
-    before = None
+    before, stalled, turn = None, 0, 0
     while n := (rest := level.filter("not closed")).count():
-        groups = -(-n // group)
-        last = groups == 1 or before is not None and n > 0.9 * before
-        merge = rest.withColumn("g", F.pmod(F.xxhash64("doc", "piece", "crc"), F.lit(groups)))
-        level, before = written(merge.groupBy("g").applyInArrow(again(last), BIN), "pack"), n
-        full.append(level.filter("closed"))
-        if last:
+        groups, turn = -(-n // group), turn + 1
+        least = [r.fill for r in rest.select("fill").orderBy("fill").limit(2).collect()]
+        stalled = stalled + 1 if before is not None and before - n <= n // STALLED else 0
+        if groups > 1 and (sum(least) > capacity or stalled > 1):
+            full.append(rest)  # no bin takes another
             break
+        # The round salts the hash: a bin that found no partner meets others.
+        merge = rest.withColumn("g", F.pmod(F.xxhash64("doc", "piece", "crc", F.lit(turn)), F.lit(groups)))
+        level, before = written(merge.groupBy("g").applyInArrow(again(groups == 1), BIN), "pack"), n
+        full.append(level.filter("closed"))
     bins = full[0]
     for x in full[1:]:
         bins = bins.unionByName(x)

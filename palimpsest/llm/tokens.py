@@ -2,7 +2,8 @@
 
 The library encodes about 3 MB of text a second on one core.  Its BPE never merges across pre-tokens, so the ids of
 a text are those of its pre-tokens one after another; the ids of a pre-token, as the library's model gives them, are
-kept in the worker.  Texts of characters whose class could differ between regular-expression engines go through the library whole.
+kept in the worker.  Texts of characters whose class could differ between regular-expression engines, and texts that hold
+one of the vocabulary's added tokens, which the library cuts out first, go through the library whole.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
+        self.added = [t["content"].lower() for t in spec.get("added_tokens") or []]
         pre = spec["pre_tokenizer"] or {}
         kinds = [x["type"] for x in pre.get("pretokenizers", [pre])]
         self.lower = kinds == ["Split", "ByteLevel"]
@@ -63,13 +64,16 @@ class Encoder:
             plain = self.find and not text.encode("latin-1").translate(None, PLAIN)
         except UnicodeEncodeError:
             plain = False
-        if not plain or "<|" in text:
+        if not plain:
+            return self.whole(text)
+        low = text.lower()
+        if any(t in low for t in self.added):
             return self.whole(text)
         known = self.known
         if len(known) > CACHE:
             for piece in list(known)[CACHE // 2 :]:
                 del known[piece]
-        return b"".join(map(known.__getitem__, self.find(text.lower() if self.lower else text)))
+        return b"".join(map(known.__getitem__, self.find(low if self.lower else text)))
 
 
 def byte_alphabet() -> dict[int, str]:
