@@ -7,6 +7,7 @@ A set of files is its manifest: a task that is run again writes new files, and f
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import sys
@@ -19,7 +20,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import file_system, shared_dir
+from palimpsest.llm.shared import file_system, scratch
 from palimpsest.llm.tokens import encoder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,17 +28,28 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAGIC = b"PLMTOK01"
 ENTRY = np.dtype([("doc", "<i8"), ("has_id", "u1"), ("at", "<u8"), ("size", "<u4"), ("n", "<u4")])
 HEAD = len(MAGIC) + 32 + 1
+#: Bytes of text that train the dictionary.
+SAMPLED = 4 << 20
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample: int, size: int) -> bytes:
-    """A dictionary of at most ``size`` bytes from the beginnings of the first ``sample`` documents read; fewer than 16 give none.
+    """A dictionary of at most ``size`` bytes from the whole id arrays of about ``sample`` documents, chosen by a hash of doc_id
+    over the whole table, of at most SAMPLED bytes of text together; fewer than 16 give none.
 
     It decides the size of the files only: any dictionary gives back the same ids.
     """
     import zstandard
 
     enc = encoder(tokenizer)
-    texts = [r.text for r in docs.select(F.substring("text", 1, 16_384).alias("text")).limit(sample).collect()]
+    rank = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30))
+    share = min(1.0, sample / max(1, docs.count()))
+    sizes = docs.select(rank.alias("rank"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), F.col("text").alias("text")).filter(F.col("rank") <= int(share * (1 << 30)))
+    texts, held = [], 0
+    for r in sizes.filter(F.col("size") <= SAMPLED // 4).orderBy("rank").limit(sample).toLocalIterator():
+        held += r["size"]
+        if held > SAMPLED:
+            break
+        texts.append(r.text)
     samples = [np.append(np.frombuffer(enc.encode(t), "<u4"), end_id).astype(f"<u{width}").tobytes() for t in texts]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
@@ -68,7 +80,8 @@ class ShardWriter:
         self.out.write(np.array(self.entries, ENTRY).tobytes())
         self.out.write(np.array([self.at, len(self.entries)], "<u8").tobytes() + MAGIC)
         self.out.close()
-        return self.name, len(self.entries), self.tokens
+        ids = [e[0] for e in self.entries if e[1]]
+        return self.name, len(self.entries), self.tokens, min(ids, default=None), max(ids, default=None)
 
 
 def parse(content, dictionary: bytes):
@@ -90,7 +103,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, sample:
     """Encode ``docs(doc_id, text)`` into ``folder`` in ascending doc_id order and return the manifest, which also lies there.
 
     Null text is empty (the end id alone); null doc_ids come first; rows that repeat are written each; an empty table gives
-    a manifest without shards.  Only the manifest, a row for each shard, reaches the driver.
+    a manifest without shards; texts of any length are one frame each.  Only the manifest, a row for each shard, reaches the driver.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     width = 2 if _vocabulary(tokenizer) <= 65_536 else 4
@@ -108,17 +121,17 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, sample:
                     done, writer, k = [*done, writer.close()], None, k + 1
         if writer:
             done.append(writer.close())
-        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["name", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["name", "n_docs", "n_tokens", "first", "last"])
 
     files, path = file_system(folder)
     files.create_dir(path, recursive=True)
     key = F.xxhash64("text")
     ordered = docs.repartitionByRange("doc_id", key).sortWithinPartitions("doc_id", key)
-    rows = sorted(tuple(r) for r in ordered.mapInArrow(shards, "name string, n_docs long, n_tokens long").collect())
-    manifest = {"dictionary": f"{run}.dict", "sha256": hashlib.sha256(dictionary).hexdigest(), "shards": []}
+    rows = sorted((tuple(r) for r in ordered.mapInArrow(shards, "name string, n_docs long, n_tokens long, first long, last long").collect()), key=lambda r: r[0])
+    manifest = {"run": run, "dictionary": f"{run}.dict", "sha256": hashlib.sha256(dictionary).hexdigest(), "shards": []}
     start = 0
-    for name, n, tokens in rows:
-        manifest["shards"].append({"name": name, "documents": n, "tokens": tokens, "start": start})
+    for name, n, tokens, first, last in rows:
+        manifest["shards"].append({"name": name, "documents": n, "tokens": tokens, "start": start, "first": first, "last": last})
         start += tokens
     for name, content in ((f"{run}.dict", dictionary), (f"{run}.manifest.json", json.dumps(manifest).encode())):
         with files.open_output_stream(f"{path}/{name}") as out:
@@ -140,21 +153,23 @@ def read(spark: SparkSession, folder: str, manifest: dict, keep_ids: bool = Fals
     files, path = file_system(folder)
     with files.open_input_stream(f"{path}/{manifest['dictionary']}") as f:
         dictionary = f.read()
-    starts = {s["name"]: s["start"] for s in manifest["shards"]}
 
     def documents(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                at, rows = starts[name.rpartition("/")[2]], []
+                at, rows = 0, []
                 for doc, ids in parse(memoryview(content.as_buffer()), dictionary):
                     raw = ids.tobytes()
-                    rows.append((doc, at, len(ids), zlib.crc32(raw), raw if keep_ids else None))
+                    rows.append((name.rpartition("/")[2], doc, at, len(ids), zlib.crc32(raw), raw if keep_ids else None))
                     at += len(ids)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["name", "doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    shards = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in starts]).select("path", "content")
-    return shards.mapInArrow(documents, schema)
+    shards = spark.read.format("binaryFile").option("pathGlobFilter", f"{manifest['run']}-*.tok").load(folder).select("path", "content")
+    # What a shard's documents start at is a table; a shard that the manifest does not name is not in it.
+    starts = spark.createDataFrame([(s["name"], s["start"]) for s in manifest["shards"]], "name string, shard_start bigint")
+    found = shards.mapInArrow(documents, f"name string, {schema}").join(starts, "name")
+    return found.select("doc_id", (F.col("shard_start") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
 def read_document(folder: str, manifest: dict, doc_id: int) -> np.ndarray | None:
@@ -164,7 +179,8 @@ def read_document(folder: str, manifest: dict, doc_id: int) -> np.ndarray | None
     files, path = file_system(folder)
     with files.open_input_stream(f"{path}/{manifest['dictionary']}") as f:
         dictionary = f.read()
-    for s in manifest["shards"]:
+    named = [s for s in manifest["shards"] if s["last"] is not None]  # ascending: shards of null ids only come first
+    for s in named[bisect.bisect_left(named, doc_id, key=lambda s: s["last"]) :][:1]:
         with files.open_input_file(f"{path}/{s['name']}") as f:
             end = f.size() - len(MAGIC) - 16
             at, n = np.frombuffer(f.read_at(16, end), "<u8").tolist()
@@ -177,4 +193,5 @@ def read_document(folder: str, manifest: dict, doc_id: int) -> np.ndarray | None
 
 
 def store_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    """A new folder among the intermediate tables; ``shared.clear`` deletes it."""
+    return scratch(spark, "tokens")
