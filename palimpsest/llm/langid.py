@@ -73,12 +73,17 @@ class Model:
     def __init__(self, languages: list[str], matrix: np.ndarray, bias: np.ndarray):
         self.languages, self.matrix, self.bias = languages, matrix.astype(np.float32), bias
 
+    def decide(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Decision values, a column a language, and the number of n-grams of each text."""
+        rows = presence(texts)
+        size = rows.sum(axis=1)
+        return rows @ self.matrix / np.sqrt(np.maximum(size, 1))[:, None] + self.bias, size
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language of the greatest decision value, the first in order among equal ones, and its share of all."""
         names, scores = [], []
         for k in range(0, len(texts), BATCH):
-            rows = presence(texts[k : k + BATCH])
-            size = rows.sum(axis=1)
-            z = rows @ self.matrix / np.sqrt(np.maximum(size, 1))[:, None] + self.bias
+            z, size = self.decide(texts[k : k + BATCH])
             e = np.exp(4 * (z - z.max(axis=1, keepdims=True))) if z.shape[1] else z
             for row, p, n in zip(z, e, size):
                 known = n > 0 and len(self.languages) > 0
@@ -123,15 +128,16 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, most: int = 3000) -> Model:
     """Learn from at most about ``most`` rows of ``docs(doc_id, text, lang)`` that are not held out, chosen by a hash of
-    doc_id alike from every language; null texts, ids and languages are left out.  The bound covers training alone."""
+    doc_id alike from every language, all of them; null texts, ids and languages are left out.  The bound covers training
+    alone; only one row a language, and the chosen rows' n-grams, reach the driver."""
     usable = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("doc_id is not null and lang is not null").filter(~held_out(F.col("doc_id")))
-    # One row a language: the commonest ones, should the column hold anything else.
-    per = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
-    if not per:
+    # One row a language.
+    per = usable.groupBy("lang").agg(F.count("*").alias("_n"))
+    many = per.count()
+    if not many:
         return Model([], np.zeros((DIM, 0)), np.zeros(0))
-    share = F.lit(0)
-    for lang, n in per.items():
-        share = F.when(F.col("lang") == lang, max(1, min(1 << 20, ((most // len(per)) << 20) // n))).otherwise(share)
+    each = max(1, most // many)
+    share = F.least(F.lit(1 << 20), F.ceil(F.lit(each << 20) / F.col("_n")))
 
     def start(batches):  # whole texts are seen by the kernel in the worker; only rows of presence leave it
         for b in batches:
@@ -141,7 +147,7 @@ def train(docs: DataFrame, most: int = 3000) -> Model:
                 packed = [x.tobytes() for x in np.packbits(rows > 0, axis=1)]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), part.column(1)], ["bits", "lang"])
 
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < share).filter("text is not null").select("text", "lang")
+    chosen = usable.join(F.broadcast(per), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < share).filter("text is not null").select("text", "lang")
     got = chosen.mapInArrow(start, "bits binary, lang string").toPandas()
     got = got.sort_values(["lang", "bits"], kind="stable")
     rows = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for b in got["bits"]], np.uint8).reshape(len(got), -1)
@@ -149,21 +155,28 @@ def train(docs: DataFrame, most: int = 3000) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1) added; ``und`` and 0 where the text is null or has no letter."""
+    """``docs`` with lang_pred and score (0 to 1); ``und`` and 0 where the text is null or has no letter.
+
+    Columns that are called so already are replaced, all others are kept; whole texts of any length are read; rows that
+    repeat have equal results; an empty table gives no rows.
+    """
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
         names, scores = model.predict(texts.tolist())
         return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
 
-    return docs.withColumn("found", of(F.col("text").cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns], "found.lang_pred", "found.score")
+    found = "_".join(["palimpsest", *docs.columns])  # no column of docs is called that
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn(found, of(F.col("text").cast("string"))).select(*kept, F.col(f"`{found}`.lang_pred"), F.col(f"`{found}`.score"))
 
 
 def languages(docs: DataFrame, most: int = 3000) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, lang)``: doc_id, held_out, lang_pred, score.
 
     Learned from rows that are not held out (crc32 of doc_id as text mod 4 is 2); null doc_ids are not held out; without
-    any row to learn from every text is ``und``; an empty table gives no rows.
+    any row to learn from every text is ``und``; other columns are ignored, whole texts of any length are read, rows that
+    repeat have equal results, ties go to the first language in order; an empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return identify(base, train(docs, most)).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -299,6 +299,39 @@ def test_scoring_is_the_kernel_ridge_prediction():
     assert model.predict([None, "", "123 !!"]) == (["und"] * 3, [0.0] * 3)
 
 
+def test_decisions_against_kernel_ridge_by_hand():
+    """Every text a landmark: presence kernels of sets, their inverse root as the map, weighted ridge regression with an intercept."""
+    draw = random.Random(7)
+    texts = ["".join(draw.choice("abc " if i % 3 else "bcé ") for _ in range(25)) + " x" for i in range(24)]
+    langs = ["en" if i % 3 else "de" for i in range(24)]
+    asked = texts[:5] + ["".join(draw.choice("abcé ") for _ in range(40)) + "x" for _ in range(20)]
+    grams = [brute_grams(t) for t in texts]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    value, vector = np.linalg.eigh([[kernel(a, b) for b in grams] for a in grams])
+    good = value > 1e-6 * value.max()
+    root = vector[:, good] / np.sqrt(value[good])
+    mapped = lambda found: np.column_stack([np.array([[kernel(a, b) for b in grams] for a in found]) @ root, np.ones(len(found))])
+    x, y = mapped(grams), np.array([[lang == n for n in ("de", "en")] for lang in langs], float)
+    weight = np.array([1 / langs.count(lang) for lang in langs])
+    w = np.linalg.solve(x.T @ (x * weight[:, None]) + 1e-2 * np.eye(x.shape[1]), x.T @ (y * weight[:, None]))
+    model = langid.fit(texts, langs, landmarks=1000, ridge=1e-2)
+    assert model.languages == ["de", "en"]
+    assert model.decide(asked)[0] == pytest.approx(mapped([brute_grams(t) for t in asked]) @ w, abs=2e-3)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, chr(97 + k % 26) * 3 + chr(97 + k // 26) * 3, f"l{k:03d}") for k in range(400)]
+    rows += [(1000 + k, t, lang) for k, t, lang in rows] + [(2000 + k, t, lang) for k, t, lang in rows]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) > 390
+
+
+def test_identify_keeps_other_columns(spark, awkward):
+    model = langid.fit(["the of and", "der die das"] * 4, ["en", "de"] * 4)
+    got = langid.identify(awkward, model)
+    assert sorted(got.columns) == sorted({*awkward.columns, "lang_pred", "score"}) and {r.found for r in got.collect()} == {"clash"}
+
+
 def test_languages_of_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.languages(docs).collect()
