@@ -55,30 +55,31 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of words: runs of ASCII letters and digits and of characters beyond ASCII, lower-cased, without punctuation."""
+    """Hashes of words: runs of ASCII letters and digits and of characters beyond ASCII, lower-cased, without punctuation;
+    with ``marks``, in their own case and with punctuation, and also of runs of other ASCII characters but spaces."""
 
-    def __init__(self):
+    def __init__(self, marks: bool = False):
+        self.marks = marks
         draw = np.random.default_rng(3)
         self.value = draw.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-        self.is_word = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+        self.kind = np.array([1 if b >= 128 or chr(b).isalnum() else 2 if marks and b > 32 else 0 for b in range(256)], np.uint8)
         self.up, self.down = _powers(ROOT, 0), _powers(INVERSE, 0)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(hash, text number) of every word of the texts, in order."""
         raw = []
         for t in texts:
-            t = t.lower()
-            raw.append((t if t.isascii() else PUNCTUATION.sub(" ", t)).encode("utf-8", "surrogatepass"))
+            t = t if self.marks else t.lower()
+            raw.append((t if self.marks or t.isascii() else PUNCTUATION.sub(" ", t)).encode("utf-8", "surrogatepass"))
         size = np.array([len(r) + 1 for r in raw])
         data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         if len(self.up) <= len(data):
             self.up, self.down = _powers(ROOT, 2 * len(data)), _powers(INVERSE, 2 * len(data))
-        inside = self.is_word[data]
-        turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if len(inside) and inside[0]:
-            turn = np.append(0, turn)
-        start, end = turn[::2], turn[1::2]
-        total = np.cumsum(np.where(inside, self.value[data], np.uint64(0)) * self.up[: len(data)])
+        kind = self.kind[data]
+        turn = np.append(0, np.flatnonzero(kind[1:] != kind[:-1]) + 1)
+        some = kind[turn] > 0  # the last run is a space
+        start, end = turn[some], turn[1:][some[:-1]]
+        total = np.cumsum(np.where(kind > 0, self.value[data], np.uint64(0)) * self.up[: len(data)])
         before = np.where(start > 0, total[start - 1], np.uint64(0))
         h = (total[end - 1] - before) * self.down[start]
         h ^= h >> np.uint64(31)

@@ -352,54 +352,87 @@ def test_languages_awkward(spark, awkward, nothing):
 # -- cross-entropy difference ------------------------------------------------------
 
 
-def brute_losses(texts, targets):
-    counts = [collections.Counter(), collections.Counter()]
-    pad = lambda t: np.concatenate([np.zeros(3, np.uint64), np.array([ord(c) for c in t], np.uint64)])
-    for d, t in texts.items():
-        if t:
-            for s in lm_scoring.slots(pad(t)):
-                counts[1].update(s.tolist())
-                if d in targets:
-                    counts[0].update(s.tolist())
+def brute_losses(texts, targets, classes):
+    """{doc: (words, target loss, background loss)} by the definition, every document scored by models without it, and the
+    sums of probabilities of all words of the vocabulary and an unknown one after each context seen."""
+    body = {d: re.findall(r"[0-9A-Za-zé]+|[^0-9A-Za-zé\s]+", t or "") for d, t in texts.items()}
+    everything = collections.Counter(w for b in body.values() for w in b)
+    number = lambda w: int(lm_scoring.Hasher(marks=True)([w])[0].view(np.int64)[0])
+    own_class = sorted(everything, key=lambda w: (-everything[w], number(w)))[:classes]
+    of = lambda w: w if w in own_class else "*"
+    size, sums = len(everything), []
+    matched = sum(len(body[d]) for d in body if d in targets) / max(1, sum(map(len, body.values())))
     out = {}
-    for d, t in texts.items():
-        sums = []
-        for c in counts:
-            total, first = 0.0, max(1, sum(v for k, v in c.items() if k < lm_scoring.START[1]))
-            if t:
-                grams, before = lm_scoring.slots(pad(t)), lm_scoring.contexts(pad(t))
-                for i in range(len(t)):
-                    p = (c[int(grams[0][i])] + 4 / 4096) / (first + 4)
-                    for k in range(1, 4):
-                        p = (c[int(grams[k][i])] + 4 * p) / (c[int(before[k - 1][i])] + 4)
-                    total -= np.log(min(p, 1.0))
-            sums.append(total / max(1, len(t or "")))
-        out[d] = (len(t or ""), *sums)
-    return out
-
-
-def test_cross_entropy_difference_against_brute_force(spark, monkeypatch):
+    for d in body:
+        found = []
+        for scale, members in ((1.0, [x for x in body if x in targets and x != d]), (matched, [x for x in body if x != d])):
+            words = collections.Counter(w for x in members for w in body[x])
+            pairs = collections.Counter(p for x in members for p in zip(["<", *map(of, body[x])], map(of, body[x])))
+            kind, after = collections.Counter(), collections.Counter()
+            for w, n in words.items():
+                kind[of(w)] += n
+            for (a, _), n in pairs.items():
+                after[a] += n
+            total = sum(words.values())
+            each = 0.5  # added to the count of every word of the vocabulary and of the unknown word
+            shares = dict.fromkeys(own_class, each) | {"*": (size + 1 - len(own_class)) * each}
+
+            def p(w, before):
+                c = of(w)
+                share = (kind[c] * scale + shares[c]) / (total * scale + each * (size + 1))
+                chance = (pairs[before, c] * scale + 4 * share) / (after[before] * scale + 4)
+                return chance * (1 if c != "*" else (words[w] * scale + each) / (kind["*"] * scale + shares["*"]))
+
+            found.append(-sum(np.log(p(w, a)) for w, a in zip(body[d], ["<", *map(of, body[d])])) / max(1, len(body[d])))
+            sums += [sum(p(w, a) for w in [*everything, "never seen"]) for a in ("<", "*", *own_class[:2])]
+        out[d] = (len(body[d]), *found)
+    return out, sums
+
+
+@pytest.mark.parametrize(("classes", "head"), [(5, 12), (300, 1 << 18), (0, 0)])
+def test_cross_entropy_difference_against_brute_force(spark, monkeypatch, classes, head):
+    monkeypatch.setattr(lm_scoring, "CLASSES", classes)
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    monkeypatch.setattr(lm_scoring, "SPAN", 300)
     draw = random.Random(5)
-    texts = {d: "".join(draw.choice("abc é" if d % 2 else "xyz é") for _ in range(draw.randint(0, 400))) for d in range(30)}
-    texts[30], texts[31] = None, ""
+    pools = [["".join(draw.choice("abcdé,;" if k else "xyzé0;") for _ in range(draw.randint(1, 3))) for _ in range(40)] for k in (0, 1)]
+    texts = {d: " ".join(draw.choices(pools[d % 2], range(40, 0, -1), k=draw.randint(0, 60))) for d in range(30)}
+    texts |= {30: None, 31: "", 32: texts[2], 33: "only here,; Once..."}
     targets = {d for d in texts if d % 2}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     rows = lm_scoring.score(df, spark.createDataFrame([(d,) for d in targets] + [(1,), (None,)], "doc_id long")).collect()
-    want = brute_losses(texts, targets)
-    for r in rows:
-        n, t, b = want[r.doc_id]
-        assert r.n_tokens == n and r.target_loss == pytest.approx(t, rel=1e-4, abs=1e-6) and r.background_loss == pytest.approx(b, rel=1e-4, abs=1e-6)
-        assert r.score == pytest.approx(r.background_loss - r.target_loss)
+    in_head = classes if head >= 1 << 18 else min(classes, head)
+    want, sums = brute_losses(texts, targets, in_head)
+    assert np.allclose(sums, 1.0)
+    if classes != 5:  # bands of frequency may hold fewer words than HEAD: then fewer are a class
+        for r in rows:
+            n, t, b = want[r.doc_id]
+            assert r.n_tokens == n and r.target_loss == pytest.approx(t, abs=1e-9) and r.background_loss == pytest.approx(b, abs=1e-9)
+    assert all(r.score == pytest.approx(r.background_loss - r.target_loss) for r in rows)
     assert np.mean([(r.score > 0) == (r.doc_id in targets) for r in rows if r.n_tokens > 20]) == 1
 
 
-def test_long_texts_in_spans(spark, monkeypatch):
-    text = "abcdefgh" * 500
-    model = lm_scoring.Model(np.random.default_rng(1).integers(0, 9, lm_scoring.START[-1]).astype(float))
-    whole = lm_scoring.losses([text, "abc"], model, model)
-    monkeypatch.setattr(lm_scoring, "SPAN", 64)
-    parts = lm_scoring.losses([text, "abc"], model, model)
-    assert all(np.allclose(a, b, rtol=1e-5) for a, b in zip(whole, parts))
+def test_any_number_of_frequent_words_gives_the_same_scores(spark, docs, sf_dir, monkeypatch):
+    targets = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    monkeypatch.setattr(lm_scoring, "CLASSES", 20)
+    whole = {r.doc_id: r.score for r in lm_scoring.score(docs, targets).collect()}
+    monkeypatch.setattr(lm_scoring, "HEAD", 60)
+    monkeypatch.setattr(lm_scoring, "TARGETS", 0)
+    some = {r.doc_id: r.score for r in lm_scoring.score(docs, targets).collect()}
+    assert some == pytest.approx(whole) and len(some) == docs.count()
+
+
+def test_scores_tell_targets_from_others(spark):
+    base = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    # Half of the target documents are held out of the model.
+    seen = labels.filter("quality = 1 and crc32(cast(doc_id as string)) % 2 = 0").select("doc_id")
+    got = lm_scoring.score(docs, seen).join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 2 = 1").select("score", "quality").toPandas().sort_values("score")
+    rank = np.arange(1, len(got) + 1)
+    good = (got["quality"] == 1).to_numpy()
+    area = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    print("area under the curve on held-out documents:", area)
+    assert area > 0.95
 
 
 def test_cross_entropy_awkward(spark, awkward, nothing):
