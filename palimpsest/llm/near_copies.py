@@ -1,9 +1,14 @@
-"""Near copies: an exact set-similarity join of texts by the Jaccard similarity of their five-word shingles.
+"""SimHash near-duplicates held to the exact Jaccard similarity of their sets of shingles.
+
+Fingerprints of the shingles, linked on the segment-popcount grids of ``simhash``, propose pairs, which are verified
+exactly.  Sets of a similarity of 0.8 differ in 10 bits of 64 on average, more than any grid can bear; the links that
+fingerprints do not show come from an exact set-similarity join, of texts that no link has brought together before.
 
 Shingles are ordered, those frequent in a sample last; any one order gives the same links.  Two sets of at least
 ``LIKE`` share one of the first n - ceil(LIKE n) + 1 shingles of either (prefix), are of like size (length), have enough
 shingles left after the first in common (position), and differ in few bits of parity.  What remains is compared exactly.
-First every text meets its neighbour in each cell of a shared shingle; then only texts that are not yet in one component meet.
+Along with the pairs of the grids, every text meets its neighbour in each cell of a shared shingle; then only texts that are
+not yet in one component meet.
 """
 
 from __future__ import annotations
@@ -23,8 +28,7 @@ from palimpsest.llm.shared import drop, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORDS = 5
-LIKE = Fraction(4, 5)
+WORDS, LIKE, DISTANCE = 5, Fraction(4, 5), 3
 #: Texts read for the order of the shingles, and the most frequent shingles it holds.  They decide speed only.
 SAMPLED, RANKED = 2_000, 200_000
 #: Least bits of a set's wide parity (a power of two, at least twice the set's size), and neighbours of a text that the first round looks at.
@@ -33,9 +37,9 @@ PARITY, FIRST = 1024, 4
 FILTER = 26
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct shingle hashes of a text, ascending."""
-    return np.unique(np.array(simhash.shingle_hashes(text, WORDS), np.uint64))
+    return np.unique(np.array(simhash.shingle_hashes(text, words), np.uint64))
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -45,12 +49,12 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(shingles.tobytes(), simhash.SEED)).astype(np.int64)) if len(shingles) else 0
 
 
-def fingerprint(docs: DataFrame) -> DataFrame:
+def fingerprint(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and fp, the key of the shingle set, of every row of ``docs(doc_id, text)``."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(shingle_set(t)) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(shingle_set(t, words)) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
 
@@ -67,13 +71,13 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of ``docs(text)`` repeats, ascending, and their ranks, from 1, the most frequent last."""
 
     def run(batches):
         for b in batches:
             for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view("<i8"))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view("<i8"))], ["h"])
 
     share = min(1.0, SAMPLED / max(1, docs.count()))
     some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
@@ -83,43 +87,54 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[at], (len(h) - np.arange(len(h)))[at]
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, n (shingles), parity, wide and full (parity of PARITY and of all classes) and prefix (shingles in order) of every row of ``docs(doc_id, text)``."""
-    order = docs.sparkSession.sparkContext.broadcast(frequent(docs))
+def digests(docs: DataFrame, words: int, like: Fraction) -> DataFrame:
+    """doc_id, fp, sim (the SimHash fingerprint), n (shingles), parity, wide and full (parity of PARITY and of all classes) and
+    prefix (shingles in order) of every row of ``docs(doc_id, text)``."""
+    order = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches):
         hot, rank = order.value
         for b in batches:
-            keys, sizes, parities, wide, full, prefixes = [], [], [], [], [], []
+            keys, sims, sizes, parities, wide, full, prefixes = [], [], [], [], [], [], []
             for t in b.column(1).to_pylist():
-                h = shingle_set(t)
+                every = np.array(simhash.shingle_hashes(t, words), np.uint64)
+                h = np.unique(every)
                 n = len(h)
+                sims.append(int(simhash.majority([every])[0].astype(np.int64)))
                 keys.append(set_key(h))
                 sizes.append(n)
                 parities.append(int(np.bitwise_xor.reduce(np.uint64(1) << (h >> np.uint64(58)), initial=np.uint64(0)).astype(np.int64)))
                 bits = parity(h)
-                wide.append(folded(bits, PARITY // 8).tobytes())
+                wide.append(folded(bits, PARITY // 8).view("<i8"))
                 full.append(bits.tobytes())
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
                     h = h[np.argsort(np.where(hot[at] == h, rank[at], 0), kind="stable")]
-                prefixes.append(h[: n - math.ceil(LIKE * n) + 1].view("<i8"))
+                prefixes.append(h[: n - math.ceil(like * n) + 1].view("<i8"))
             prefix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate([*prefixes, np.zeros(0, "<i8")])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parities, pa.int64()), pa.array(wide, pa.binary()), pa.array(full, pa.binary()), prefix], ["doc_id", "fp", "n", "parity", "wide", "full", "prefix"])
+            longs = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * (PARITY // 64), pa.int32()), pa.array(np.concatenate([*wide, np.zeros(0, "<i8")])))
+            columns = [b.column(0), *(pa.array(c, pa.int64()) for c in (keys, sims, sizes, parities)), longs, pa.array(full, pa.binary()), prefix]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sim", "n", "parity", "wide", "full", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id bigint, fp bigint, n bigint, parity bigint, wide binary, full binary, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, fp bigint, sim bigint, n bigint, parity bigint, wide array<bigint>, full binary, prefix array<bigint>")
 
 
-def may_link(x: str, y: str) -> Column:
-    """Whether structs of (n, parity, at) that share a shingle can be of sets of at least LIKE, by length, position and parity."""
-    p, q = LIKE.numerator, LIKE.denominator
+def may_link(x: str, y: str, like: Fraction) -> Column:
+    """Whether structs of (n, parity, at) that share a shingle can be of sets of at least ``like``, by length, position and parity."""
+    p, q = like.numerator, like.denominator
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     left = 1 + F.least(f"{x}.at", f"{y}.at") + F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) - 1
     differ = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
     return (F.least(n, m) * q >= F.greatest(n, m) * p) & (left * (p + q) >= (n + m) * p) & (differ * (p + q) <= (n + m) * (q - p))
 
 
-def read_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def widely(x: str, y: str, like: Fraction) -> Column:
+    """Whether structs of (n, wide) can be of sets of at least ``like``, by the bits of their wide parity."""
+    differ = sum(F.bit_count(F.col(f"{x}.wide")[k].bitwiseXOR(F.col(f"{y}.wide")[k])) for k in range(PARITY // 64))
+    return differ * (like.numerator + like.denominator) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (like.denominator - like.numerator)
+
+
+def read_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """fp and shingles of the sets of ``docs(text)`` with a key in ``wanted(fp)``."""
     slots = wanted.select(F.shiftrightunsigned("fp", 64 - FILTER).alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)
     bits = np.zeros(1 << FILTER, bool)
@@ -131,7 +146,7 @@ def read_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             keys, sets = [], []
             for t in b.column(0).to_pylist():
-                h = shingle_set(t)
+                h = shingle_set(t, words)
                 k = set_key(h)
                 s = (k & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER)
                 if seen[s >> 3] >> (7 - (s & 7)) & 1:
@@ -143,13 +158,15 @@ def read_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(found.join(wanted.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
+def alike(a: np.ndarray, b: np.ndarray, like: Fraction) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return common * LIKE.denominator >= LIKE.numerator * (len(a) + len(b) - common)
+    return common * like.denominator >= like.numerator * (len(a) + len(b) - common)
 
 
-def narrowed(pairs: DataFrame, one: DataFrame) -> DataFrame:
+def narrowed(pairs: DataFrame, one: DataFrame, like: Fraction) -> DataFrame:
     """Those of ``pairs(a, b)`` that can be alike by the parities of ``one(fp, n, wide, full)``, the short one first."""
+    side = lambda k, key: one.select(F.col("fp").alias(key), F.struct("n", "wide").alias(k))
+    pairs = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").filter(widely("x", "y", like)).select("a", "b")
 
     def run(batches):
         for batch in batches:
@@ -158,34 +175,42 @@ def narrowed(pairs: DataFrame, one: DataFrame) -> DataFrame:
                 size = min(len(s), len(t))
                 x, y = (folded(np.frombuffer(v, np.uint8), size) for v in (s, t))
                 differ = int(np.bitwise_count(x ^ y).sum())
-                keep.append(differ * (LIKE.numerator + LIKE.denominator) <= n * (LIKE.denominator - LIKE.numerator))
+                keep.append(differ * (like.numerator + like.denominator) <= n * (like.denominator - like.numerator))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
-    for bits in ("wide", "full"):
-        left = one.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col(bits).alias("x"))
-        right = one.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col(bits).alias("y"))
-        rows = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n1") + F.col("n2")).alias("n"), "x", "y")
-        pairs = rows.mapInArrow(run, "a bigint, b bigint")
-    return pairs
+    left = one.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col("full").alias("x"))
+    right = one.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("full").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n1") + F.col("n2")).alias("n"), "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the written table ``pairs(a, b)`` of keys of ``docs`` whose sets have a Jaccard similarity of at least LIKE."""
+def verified(docs: DataFrame, pairs: DataFrame, words: int, like: Fraction) -> DataFrame:
+    """Those of the written table ``pairs(a, b)`` of keys of ``docs`` whose sets have a Jaccard similarity of at least ``like``."""
 
     def run(batches):
         for batch in batches:
             x, y = ([np.frombuffer(s, "<u8") for s in batch.column(k).to_pylist()] for k in (2, 3))
-            keep = pa.array([alike(s, t) for s, t in zip(x, y)], pa.bool_())
+            keep = pa.array([alike(s, t, like) for s, t in zip(x, y)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    sets = read_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("fp")))
+    sets = read_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("fp")), words)
     left, right = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
     out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "alike")
     drop(sets, pairs)
     return out
 
 
-def links(docs: DataFrame, found: DataFrame) -> DataFrame:
+def proposed(found: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints the grids link, and of one key and each other with the same fingerprint."""
+    of = found.filter("n > 0").select("fp", "sim").distinct()
+    first = of.groupBy("sim").agg(F.min("fp").alias("first"))
+    near = simhash.links(first.select(F.col("sim").alias("fp")), distance)
+    ends = lambda k: first.select(F.col("sim").alias(k), F.col("first").alias(f"{k}_first"))
+    linked = near.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_first").alias("x"), F.col("b_first").alias("y"))
+    same = of.join(first, "sim").filter("fp <> first").select(F.col("first").alias("x"), F.col("fp").alias("y"))
+    return linked.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def links(docs: DataFrame, found: DataFrame, distance: int, words: int, like: Fraction) -> DataFrame:
     """Edges (a, b) that connect every two keys of ``found``, the digests of ``docs``, whose sets are alike, directly or through others."""
     one = written(found.filter("n > 0").select("fp", "n", "parity", "wide", "full", "prefix").dropDuplicates(["fp"]), "sets_once")
     cells = one.select(F.posexplode("prefix").alias("at", "token"), "fp", "n", "parity").select("token", F.struct("fp", "n", "parity", "at").alias("x"))
@@ -193,32 +218,35 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     cells = cells.withColumn("y", F.lag("x").over(order)).withColumn("z", F.lead("x").over(order))
     shared = written(cells.filter("y is not null or z is not null").select("token", "x", "y"), "cells")
     pair = [F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")]
-    beside = shared.filter("y is not null").filter(may_link("x", "y")).select(*pair).distinct()
+    beside = shared.filter("y is not null").filter(may_link("x", "y", like)).select(*pair).distinct()
     beside = beside.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter(F.col("k") <= FIRST).drop("k")
-    near = verified(docs, written(narrowed(beside, one), "beside"))
+    near = verified(docs, written(narrowed(beside.unionByName(proposed(found, distance)).distinct(), one, like), "beside"), words, like)
     label = simhash.components(near)
     cells = shared.select("token", "x", F.col("x.fp").alias("node")).join(label, "node", "left").select("token", "x", F.coalesce("label", "node").alias("label"))
     counts = cells.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
-    mixed = written(cells.join(counts.select("token", "most"), "token"), "mixed")
+    mixed = written(cells.join(counts.select("token", "most"), "token").withColumn("node", F.col("x.fp")).join(one.select(F.col("fp").alias("node"), "wide"), "node"), "mixed")
     # Of a cell's largest component, no two members need meet; any other pair has a member outside it.
-    rest = mixed.filter("label <> most").select("token", F.col("x").alias("y"), F.col("label").alias("other"))
-    met = mixed.join(rest.hint("merge"), "token").filter((F.col("label") != F.col("other")) & may_link("x", "y"))
-    far = verified(docs, written(narrowed(met.select(*pair).distinct(), one), "met"))
+    mixed_ = mixed.select("token", "label", "most", F.col("x").withField("wide", F.col("wide")).alias("x"))
+    rest = mixed_.filter("label <> most").select("token", F.col("x").alias("y"), F.col("label").alias("other"))
+    met = mixed_.join(rest.hint("merge"), "token").filter((F.col("label") != F.col("other")) & may_link("x", "y", like) & widely("x", "y", like))
+    far = verified(docs, written(narrowed(met.select(*pair).distinct(), one, like), "met"), words, like)
     out = written(near.unionByName(far), "links")
     drop(one, shared, near, mixed, far)
     return out
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS, like: Fraction = LIKE) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hexadecimal digits of the set's key), component_id.
 
-    component_id is the smallest doc_id reachable through links of similarity LIKE or more, its own included; null if no
-    document reached has a doc_id.  A text of under five words is one shingle; texts without words are alike.
+    component_id is the smallest doc_id reachable through links of similarity ``like`` or more, its own included; null if no
+    document reached has a doc_id.  ``distance`` is that of the fingerprints that propose pairs and decides no link.  A text
+    of under ``words`` words is one shingle; null, empty and wordless texts are alike; rows that repeat share a component;
+    texts of any length are read whole; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    found = written(digests(docs), "digests")
+    found = written(digests(docs, words, like), "digests")
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = links(docs, found)
+    edges = links(docs, found, distance, words, like)
     label = simhash.components(edges)
     linked = nodes.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     lowest = linked.groupBy("label").agg(F.min("first").alias("component_id"))

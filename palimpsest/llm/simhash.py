@@ -3,7 +3,8 @@
 A fingerprint maps to its bit counts in 32 segments of two bits.  The Manhattan distance of two such vectors never
 exceeds the Hamming distance of the fingerprints, so at most ``distance`` of any blocks of segments can differ: of B
 blocks, some B - distance agree whole.  Each choice of that many blocks is a grid; fingerprints meet in its cells.  In a
-cell they are ranged by their total count (again a lower bound) and verified exactly.  Cells emit a spanning forest of
+cell they are ranged by their total count, held to the Manhattan distance, and verified exactly.  Counts are written in
+unary, two bits a segment, so that the Manhattan distance is that of the bits.  Cells emit a spanning forest of
 their links, never all pairs; cells of more than ``HOT`` members are dealt out as pairs of chunks.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import itertools
 import math
 import sys
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SEED = 42
 #: Shingle hashes whose bits are counted at once.
 COUNTED = 1 << 18
+#: Texts whose shingles are hashed together.
+TEXTS = 64
 #: Members of a cell that one task compares with each other.
 HOT = 4096
 #: Groups up to this size are compared by shifted arrays, larger ones row by row.
 SMALL = 24
+#: Pairs of fingerprints that are compared at the cost of one more row that is dealt to a cell.
+PAIRS = 30
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -46,8 +52,13 @@ def shingle_hashes(text: str | None, words: int = 3) -> list[int]:
     return [xxh64_intdigest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[words - 1 :])]
 
 
-def fingerprints(texts: list[str | None]) -> np.ndarray:
+def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
     """The unsigned 64-bit fingerprint of each text: a bit is 1 if set in over half of its shingles' hashes."""
+    return majority([shingle_hashes(t, words) for t in texts])
+
+
+def majority(texts: list) -> np.ndarray:
+    """The fingerprints of texts given as the hashes of their shingles."""
     counts, sizes = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     held, owner = [], []
 
@@ -60,8 +71,7 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
         owner.clear()
 
     waiting = 0
-    for i, text in enumerate(texts):
-        h = shingle_hashes(text)
+    for i, h in enumerate(texts):
         sizes[i] = len(h)
         for k in range(0, len(h), COUNTED):
             held.append(h[k : k + COUNTED])
@@ -75,42 +85,51 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
     return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprint(docs: DataFrame) -> DataFrame:
+def fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fingerprint (signed 64 bits) of every row of ``docs(doc_id, text)``; null or wordless text: zero."""
 
     def run(batches):
         for b in batches:
-            fp = fingerprints(b.column(1).to_pylist())
+            texts = b.column(1).to_pylist()
+            fp = np.concatenate([fingerprints(texts[k : k + TEXTS], words) for k in range(0, len(texts), TEXTS)] + [np.zeros(0, "<u8")])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view("<i8"))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def blocks_for(n: int, distance: int) -> int:
-    """Blocks such that a cell of a grid is expected to hold few of ``n`` unrelated fingerprints.  Any number gives the same links."""
-    for b in range(distance + 2, 16):
-        if math.comb(b, distance) * n * 0.375 ** (32 * (b - distance) / b) <= 64:
-            return b
-    return 16
+    """The number of blocks with the least cost for ``n`` unrelated fingerprints: a row a grid, and the pairs within its cells.
+    Any number gives the same links."""
+    cost = lambda b: math.comb(b, distance) * (1 + n * 0.375 ** (32 * (b - distance) / b) / PAIRS)
+    return min(range(distance + 2, distance + 14), key=cost)
 
 
 def masks(blocks: int, distance: int) -> list[int]:
-    """For each grid, the bits of the packed segment counts that make its cell (as signed 64 bits)."""
+    """For each grid, the bits of the segment counts that make its cell (as signed 64 bits)."""
     cut = [round(k * 32 / blocks) for k in range(blocks + 1)]
     part = [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(cut, cut[1:])]
     return [int(np.uint64(sum(part[k] for k in kept)).astype(np.int64)) for kept in itertools.combinations(range(blocks), blocks - distance)]
 
 
+def counted(fp: np.ndarray) -> np.ndarray:
+    """The counts of the 32 segments in unary: 00, 01 or 11.  Vectors differ in as many bits as their Manhattan distance."""
+    ones = np.uint64(0x5555555555555555)
+    low, high = fp & ones, (fp >> np.uint64(1)) & ones
+    return low | high | (low & high) << np.uint64(1)
+
+
 def forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within one cell's distinct fingerprints, as index pairs."""
     total = np.bitwise_count(fp).astype(np.int64)
     order = np.argsort(total, kind="stable")
     fp, total = fp[order], total[order]
+    vector = counted(fp)
     label = np.arange(len(fp))
     upto = np.searchsorted(total, total + distance, side="right")
     out = []
     for i in range(len(fp) - 1):
-        near = np.flatnonzero(np.bitwise_count(fp[i + 1 : upto[i]] ^ fp[i]) <= distance) + i + 1
+        near = np.flatnonzero(np.bitwise_count(vector[i + 1 : upto[i]] ^ vector[i]) <= distance) + i + 1
+        near = near[np.bitwise_count(fp[near] ^ fp[i]) <= distance]
         if len(near):
             joined, first = np.unique(label[near], return_index=True)
             other = joined != label[i]
@@ -126,12 +145,14 @@ def cell_links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarr
     a, b = [], []
     small = np.flatnonzero((size[key] > 1) & (size[key] <= SMALL))
     k, f = key[small], fp[small]
+    vector = counted(f)
     for d in range(1, SMALL):
         if d >= len(k):
             break
         i = np.flatnonzero(k[:-d] == k[d:])
         if not len(i):
             break
+        i = i[np.bitwise_count(vector[i] ^ vector[i + d]) <= distance]
         i = i[np.bitwise_count(f[i] ^ f[i + d]) <= distance]
         a.append(f[i])
         b.append(f[i + d])
@@ -150,8 +171,7 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     grids = masks(blocks_for(distinct.count(), distance), distance)
     counts = F.col("fp").bitwiseAND(F.lit(0x5555555555555555))
     high = F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(0x5555555555555555))
-    # Two bits (h, l) hold the count h + l: 10 and 01 become 01, 11 becomes 10.
-    vector = counts.bitwiseXOR(high).bitwiseOR(F.shiftleft(counts.bitwiseAND(high), 1))
+    vector = counts.bitwiseOR(high).bitwiseOR(F.shiftleft(counts.bitwiseAND(high), 1))  # as ``counted``
     cells = distinct.select("fp", F.posexplode(F.array(*[vector.bitwiseAND(F.lit(m)) for m in grids])).alias("grid", "cell"))
     full = cells.groupBy("grid", "cell").count().filter(F.col("count") > HOT).withColumn("chunks", F.ceil(F.col("count") / HOT).cast("int")).drop("count")
     mine = F.pmod(F.xxhash64("fp", "grid"), F.col("chunks")).cast("int")
@@ -235,14 +255,22 @@ def components(edges: DataFrame, together: int = 500_000) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, like: Fraction | None = None) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hexadecimal digits), component_id.
 
+    With ``like`` the links are texts whose sets of ``words``-word shingles have at least that Jaccard similarity: those that
+    fingerprints show, verified exactly, and in an exact join the rest, which differ in more bits (``near_copies``).
+
     component_id is the smallest doc_id reachable through links of ``distance`` or fewer differing bits, its own
     included; rows that repeat share it; null if no document reached has a doc_id.  Texts without words have
-    fingerprint zero and link like any other.  An empty table gives no rows.
+    fingerprint zero and link like any other.  Texts of any length are read whole; other columns are ignored; an empty
+    table gives no rows.
     """
-    digests = written(fingerprint(docs), "digests")
+    if like is not None:
+        from palimpsest.llm import near_copies
+
+        return near_copies.near_copies(docs, distance, words, like)
+    digests = written(fingerprint(docs, words), "digests")
     nodes = digests.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = written(links(nodes.select("fp"), distance), "links")
     label = components(edges)

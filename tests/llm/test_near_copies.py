@@ -1,9 +1,10 @@
 import random
+from fractions import Fraction
 
 import pytest
 
 import corpus_pipeline
-from palimpsest.llm import near_copies
+from palimpsest.llm import near_copies, simhash
 
 
 def brute_components(texts):
@@ -52,7 +53,23 @@ def test_components_of_near_copies_against_all_pairs(spark, monkeypatch, sampled
     texts = made(3)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()}
-    assert got == brute_components(texts) and len(texts) / 4 < len(set(got.values())) < len(texts) - 10
+    again = simhash.near_duplicates(df, words=5, like=Fraction(4, 5)).collect()
+    assert {r.doc_id: r.component_id for r in again} == got == brute_components(texts) and len(texts) / 4 < len(set(got.values())) < len(texts) - 10
+
+
+def test_other_widths_and_similarities_against_all_pairs(spark):
+    texts = {k: t for k, t in made(5).items() if k % 2}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {d: set(zip(w, w[1:])) if len(w := t.lower().split()) > 1 else {tuple(w)} if w else set() for d, t in texts.items()}
+    low = {d: d for d in texts}
+    root = lambda d: d if low[d] == d else root(low[d])
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and 2 * len(x & y) >= len(x | y):
+                p, q = root(a), root(b)
+                low[max(p, q)] = min(p, q)
+    got = near_copies.near_copies(df, words=2, like=Fraction(1, 2)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: root(d) for d in texts}
 
 
 def test_stage_drops_near_copies(spark):
