@@ -6,11 +6,13 @@ the pieces of the packed sequences.  Empty tables pass through; null texts have
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, langid, near_copies, packing, toxicity
+from palimpsest.llm import decontaminate, langid, near_copies, packing, simhash, toxicity
 from palimpsest.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document of the
     smallest doc_id, one row of it; of documents of null doc_id that link to none with one, one row for each fingerprint."""
     docs = _documents(docs)
-    found = written(near_copies.near_copies(docs), "near")
+    found = written(simhash.near_duplicates(docs, words=5, like=Fraction(4, 5)), "near")
     kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     rows = docs.join(kept, "doc_id")
     out = rows.filter("_rows = 1")
