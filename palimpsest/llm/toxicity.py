@@ -197,8 +197,8 @@ def stems_of(pos: Counter, neg: Counter) -> tuple[list[str], list[str]]:
 
 
 def evidence(terms: list[tuple], seen: list[tuple], toxic: int, others: int) -> tuple[list[tuple], dict[str, float]]:
-    """(terms, forms) after what labelled documents show: ``seen`` has (term number, edits, form, toxic documents, other
-    documents) of every misspelled form, out of ``toxic`` and ``others`` documents.
+    """(terms, forms) after what labelled documents show: ``seen`` has (term number, edits, form, toxic documents without a term
+    as written, other documents) of every misspelled form, out of ``toxic`` and ``others`` documents.
 
     A form's strength shrinks to the share of toxic documents among those that have it, at equal numbers of both kinds and
     with one more toxic one; below SILENT it is 0.  The same share over all remaining forms of a term and a number of
@@ -292,7 +292,12 @@ def train(labelled: DataFrame, most: int = 2) -> Model:
     def misspelled(batches):
         lex, verdicts = Lexicon(terms), {}
         for b in batches:
-            out = [(n, e, w, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w, (n, e) in hits_of(set(WORD.findall(t.lower())), lex, verdicts).items() if e]
+            out = []
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                hits = hits_of(set(WORD.findall(t.lower())), lex, verdicts)
+                if y == 1 and any(not e for _, e in hits.values()):
+                    continue  # a term as written explains the label: its other words are no evidence
+                out += [(n, e, w, y) for w, (n, e) in hits.items() if e]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int32()))], ["term", "edits", "form", "y"])
 
     seen = rows.mapInArrow(misspelled, "term int, edits int, form string, y int").groupBy("term", "edits", "form").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("q"))

@@ -243,7 +243,7 @@ def test_edits_carry_misspelled_abuse(spark):
         clean = spark.createDataFrame([(r.doc_id, r.text) for r in held.itertuples() if r.toxic == 0], "doc_id long, text string")
         clear[most] = toxicity.score(clean, model).filter("score < 0.5").count() / clean.count()
     print("recall of misspelled toxic texts, with and without edits:", recall, "clean texts left alone:", clear)
-    assert recall[2] > recall[0] + 0.2 and recall[2] > 0.7 and clear[2] > 0.99
+    assert recall[2] > recall[0] + 0.2 and recall[2] > 0.6 and clear[2] > 0.99
 
 
 def test_toxicity_of_held_out_rows(spark):
