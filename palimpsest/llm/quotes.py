@@ -1,8 +1,9 @@
 """Quotation linking: conversations in order of reply, without their quotations.
 
 Lines are read as mail quotes them: as many ``>`` as the level of quotation.  Lines of one level in a row are a passage.
-Passages and their single lines, normalised and hashed, are joined to the message of the same conversation that first
-wrote them itself; the outermost, longest such link makes a message the reply to another.  DataFrame functions only.
+Passages, their paragraphs, lines and sentences, normalised and hashed, are joined to the message of the same conversation
+that first wrote them itself; the outermost, longest such link makes a message the reply to another.  Paragraphs and
+sentences find what a mail program has wrapped anew.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ MARK = r"^[ \t]*(>[> \t]*)"
 ATTRIBUTION = r"(?i)^[ \t]*(on .* wrote|le .* a écrit|am .* schrieb|el .* escribió)[ \t]*:[ \t]*$"
 #: Everything but ASCII letters and digits and characters beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates paragraphs, and the sentences of one.
+PARAGRAPH, SENTENCE = r"\n[ \t]*\n", r"[.!?]+[ \t\n]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,9 +54,15 @@ def passages_of(lines: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(level(a).alias("level"), F.transform(F.slice(lines, a, b - a + 1), lambda x: x["line"]).alias("lines")))
 
 
-def units(level: Column, lines: Column) -> Column:
-    """array<struct<level, hash, size>>: the lines together and each alone, normalised; empty ones drop out."""
-    texts = F.array_distinct(F.concat(F.array(normal(F.concat_ws(" ", lines))), F.transform(lines, normal)))
+def units(level: Column, lines: Column, least: int) -> Column:
+    """array<struct<level, hash, size>>: the lines together, their paragraphs and sentences, and each line, normalised.  Of
+    fewer than ``least`` characters only the lines together count, and only against others so short."""
+    whole = normal(F.concat_ws(" ", lines))
+    paragraphs = F.split(F.concat_ws("\n", lines), PARAGRAPH)
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE)))
+    texts = F.filter(F.transform(F.concat(paragraphs, sentences, lines), normal), lambda t: F.length(t) >= least)
+    short = (F.length(whole) < least) & (whole != "")
+    texts = F.array_distinct(F.concat(F.array(F.when(short, F.concat(F.lit("="), whole)).otherwise(whole)), texts))
     return F.transform(F.filter(texts, lambda t: t != ""), lambda t: F.struct(level.alias("level"), F.sha2(t, 256).alias("hash"), F.length(t).alias("size")))
 
 
@@ -63,24 +72,23 @@ def link(messages: DataFrame, least: int = 8) -> DataFrame:
 
     Sorted by conv_id, root_turn, turn, every message follows the one that it answers.  A message answers the message
     that first wrote what it quotes, of the same conversation and an earlier turn: of its links the least level counts,
-    then the longest text, then the latest turn.  Texts of fewer than ``least`` normalised characters don't link.
+    then the longest text, then the latest turn.  A passage of fewer than ``least`` normalised characters links to a message
+    that says nothing else; parts of a text that are so short don't link.
     Without a link parent_turn is null, root_turn the message's own turn and depth 0.  Null texts are empty; rows of null
-    conv_id or turn don't link; rows of one conv_id and turn are one message with the links of all; an empty table gives no rows.
+    conv_id or turn don't link; rows of one conv_id and turn are one message with the links of all; texts of any length are read whole; other columns are ignored; an empty table gives
+    no rows.
     """
     base = messages.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string"), F.col("text").cast("string"))
     parsed = base.withColumn("lines", lines_of(F.col("text")))
     quoting = parsed.filter(F.col("text").contains(">")).withColumn("passages", passages_of(F.col("lines"))).filter(F.size("passages") > 0)
-    quoted = quoting.select("conv_id", "turn", F.explode(F.flatten(F.transform("passages", lambda p: units(p["level"], p["lines"])))).alias("u")).select("conv_id", "turn", "u.*").filter(F.col("size") >= least)
+    quoted = quoting.select("conv_id", "turn", F.explode(F.flatten(F.transform("passages", lambda p: units(p["level"], p["lines"], least)))).alias("u")).select("conv_id", "turn", "u.*")
     quoted = written(quoted.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"), F.max("size").alias("size")), "quoted")
-    if quoted.isEmpty():
-        parents = quoted.select("conv_id", "turn", F.col("turn").alias("parent_turn"), F.col("turn").alias("root_turn"), F.lit(0).alias("depth"))
-    else:
-        wanted = quoted.select("conv_id", "hash").distinct()
-        own = parsed.select("conv_id", "turn", F.explode(units(F.lit(0), own_lines(F.col("lines")))).alias("u")).select("conv_id", "turn", "u.hash")
-        first = own.join(wanted, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("parent_turn"))
-        links = quoted.join(first, ["conv_id", "hash"]).filter(F.col("parent_turn") < F.col("turn"))
-        best = links.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "size", "parent_turn"))["parent_turn"].alias("parent_turn"))
-        parents = rooted(written(best, "replies"))
+    wanted = quoted.select("conv_id", "hash").distinct()
+    own = parsed.select("conv_id", "turn", F.explode(units(F.lit(0), own_lines(F.col("lines")), least)).alias("u")).select("conv_id", "turn", "u.hash")
+    first = own.join(wanted, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("parent_turn"))
+    links = quoted.join(first, ["conv_id", "hash"]).filter(F.col("parent_turn") < F.col("turn"))
+    best = links.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "size", "parent_turn"))["parent_turn"].alias("parent_turn"))
+    parents = rooted(written(best, "replies"))
     shape = parsed.withColumn("passages", F.when(F.col("text").contains(">"), passages_of(F.col("lines"))))
     body = F.when(F.col("text").contains(">"), F.trim(F.concat_ws("\n", own_lines(F.col("lines"))))).otherwise(F.coalesce(F.regexp_replace("text", "\r", ""), F.lit("")))
     out = shape.select("conv_id", "turn", "role", body.alias("body"), F.coalesce(F.size("passages"), F.lit(0)).alias("n"), F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).alias("max_level"))
