@@ -1,6 +1,6 @@
 """License scans: places of set phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A block (a line, or a paragraph for long notices) meets a template when it contains at least ``THRESHOLD`` of the
+A block (up to three lines of a paragraph in a row, as a short notice is wrapped, or a paragraph for long notices) meets a template when it contains at least ``THRESHOLD`` of the
 template's distinct tokens.  Tokens are ordered by how many documents have them, rarest first.  A block that meets the
 template must hold one of its first |T| - need + 1 tokens (prefix), must have ``need`` template tokens at all (length), and
 after the first token in common both must have enough tokens left (position); what remains is verified exactly.
@@ -37,8 +37,10 @@ NOTICES = (
     ("reserved", "All rights reserved"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
-#: Templates of up to so many tokens are held against lines, longer ones against paragraphs.
-SHORT = 14
+#: Templates of up to so many tokens are held against so many lines in a row, longer ones against paragraphs.  A block that
+#: holds another meets all that the other meets.
+SHORT, LINES = 14, 3
+PARAGRAPH = "\n[ \t\r]*\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -53,7 +55,7 @@ def templates() -> list[tuple[int, str, str, list[str], int]]:
     out = []
     for k, (label, text) in enumerate(NOTICES):
         tokens = sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())))
-        out.append((k, label, "line" if len(tokens) <= SHORT else "paragraph", tokens, math.ceil(THRESHOLD * len(tokens) - 1e-9)))
+        out.append((k, label, "window" if len(tokens) <= SHORT else "paragraph", tokens, math.ceil(THRESHOLD * len(tokens) - 1e-9)))
     return out
 
 
@@ -96,7 +98,8 @@ def scan(docs: DataFrame) -> DataFrame:
     Null text is empty.  base_labels come from places where a phrase's words stand in a row; labels add those of the
     templates that a block of the text meets; both are distinct, sorted and joined by commas, empty if there are none.
     score is 1 with a base label, else the best containment of a template that is met, else 0.  Rows that repeat have
-    equal results; null doc_ids are kept; an empty table gives no rows.
+    equal results; null doc_ids are kept; texts of any length are read whole; other columns are ignored; an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     vocabulary = sorted({t for x in templates() for t in x[3]})
@@ -113,10 +116,13 @@ def scan(docs: DataFrame) -> DataFrame:
     ranked = F.create_map(*[x for t, k in rank.items() for x in (F.lit(t), F.lit(k))])
     ordered = F.array(*[F.lit(t) for t in sorted(rank, key=rank.get)])
     texts = small.filter("text is not null").select("key", "text").dropDuplicates(["key"])
-    kinds = F.array(F.struct(F.lit("line").alias("unit"), F.split("text", "\n").alias("blocks")), F.struct(F.lit("paragraph").alias("unit"), F.split("text", "\n[ \t\r]*\n").alias("blocks")))
-    blocks = texts.select("key", F.explode(kinds).alias("k")).select("key", "k.unit", F.explode(F.array_distinct("k.blocks")).alias("block"))
+    # Of every line of every paragraph, the template tokens.
+    lines = texts.select("key", F.transform(F.split("text", PARAGRAPH), lambda p: F.transform(F.split(p, "\n"), lambda x: F.array_intersect(F.split(normal(x), " "), words))).alias("p"))
     # In the global order: intersecting keeps the order of the first array.
-    held = blocks.withColumn("mine", F.array_intersect(ordered, F.split(normal(F.col("block")), " "))).filter(F.size("mine") > 0)
+    block = lambda unit, tokens: F.struct(F.lit(unit).alias("unit"), F.array_intersect(ordered, F.flatten(tokens)).alias("mine"))
+    paragraphs = F.transform("p", lambda p: block("paragraph", p))
+    windows = F.flatten(F.transform("p", lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - (LINES - 1), F.lit(1))), lambda k: block("window", F.slice(p, k, LINES)))))
+    held = lines.select("key", F.explode(F.array_distinct(F.concat(paragraphs, windows))).alias("b")).select("key", "b.unit", "b.mine").filter(F.size("mine") > 0)
     entries = held.select("key", "unit", "mine", F.posexplode("mine").alias("at", "token"))
     met = (
         entries.join(F.broadcast(prefixes), ["token", "unit"])
