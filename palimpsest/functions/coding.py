@@ -9,8 +9,11 @@ from palimpsest.model import BATCH_HEADER, PUT
 
 
 def varint_length(n: Column) -> Column:
-    """Bytes of the varint of a non-negative integer below 2^35."""
-    return F.when(n < 1 << 7, 1).when(n < 1 << 14, 2).when(n < 1 << 21, 3).when(n < 1 << 28, 4).otherwise(5).cast("bigint")
+    """Bytes of the varint of an integer; a negative bigint stands for the unsigned 64-bit integer of the same bits."""
+    out = F.when(n < 0, 10)
+    for size in range(1, 9):
+        out = out.when(n < 1 << 7 * size, size)
+    return out.otherwise(9).cast("bigint")
 
 
 def _hex_byte(n: Column) -> Column:
@@ -18,20 +21,22 @@ def _hex_byte(n: Column) -> Column:
 
 
 def varint_hex(n: Column) -> Column:
-    """The varint of a non-negative integer as upper-case hexadecimal: seven bits a byte, lowest first, a set top bit on all but the last."""
-    size = F.when(n < 1, 1).otherwise(F.ceil(F.length(F.bin(n)) / 7)).cast("int")
-    parts = F.transform(
-        F.sequence(F.lit(0), size - 1),
-        lambda i: _hex_byte(F.pmod(F.floor(n / F.pow(F.lit(2.0), 7 * i)).cast("bigint"), F.lit(128)) + F.when(i < size - 1, 128).otherwise(0)),
-    )
-    return F.array_join(parts, "")
+    """The varint of a 64-bit integer as upper-case hexadecimal: seven bits a byte, lowest first, a set top bit on all but the last."""
+    n, size = n.cast("bigint"), varint_length(n)
+    out = []
+    for k in range(10):
+        bits = F.shiftrightunsigned(n, 7 * k).bitwiseAND(F.lit(127))
+        out.append(F.when(size > k + 1, _hex_byte(bits + 128)).when(size > k, _hex_byte(bits)).otherwise(""))
+    return F.concat(*out)
 
 
 def varint_value(text: Column) -> Column:
-    """The integer of an upper-case hexadecimal varint; null past ten bytes or without a last byte."""
+    """The 64-bit integer of an upper-case hexadecimal varint; null past ten bytes or without a last byte."""
     count = F.length(text) / 2
-    byte = lambda i: F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
-    total = F.aggregate(F.sequence(F.lit(0), (count - 1).cast("int")), F.lit(0).cast("bigint"), lambda acc, i: acc + F.pmod(byte(i), F.lit(128)) * F.pow(F.lit(2.0), 7 * i).cast("bigint"))
+    byte = lambda k: F.conv(F.substring(text, 2 * k + 1, 2), 16, 10).cast("bigint")
+    total = F.lit(0).cast("bigint")
+    for k in range(10):
+        total = total.bitwiseOR(F.when(count > k, F.shiftleft(byte(k).bitwiseAND(F.lit(127)), 7 * k)).otherwise(0))
     last = F.conv(F.substring(text, -2, 2), 16, 10).cast("bigint")
     return F.when((count >= 1) & (count <= 10) & (last < 128), total)
 

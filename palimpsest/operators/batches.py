@@ -20,10 +20,15 @@ def concatenate(batches: DataFrame, order: str) -> DataFrame:
     """One batch of all, in order: sequences go on from the least base and counts add up."""
     base = batches.agg(F.min("base_seq").alias("first"))
     each = batches.select(F.col(order).alias("_o"), F.posexplode("ops").alias("pos", "o"))
-    numbered = row_numbers(each, F.col("_o"), [F.col("pos")], "n")
+    numbered = row_numbers(each, F.floor(F.col("_o") / 1_000), [F.col("_o"), F.col("pos")], "n")
     return numbered.crossJoin(F.broadcast(base)).select("o.k", (F.col("first") + F.col("n") - 1).alias("seq"), "o.op", F.when(F.col("o.op") == PUT, F.col("o.v")).otherwise("").alias("v"))
 
 
+def repeated(versions: DataFrame) -> DataFrame:
+    """(k, seq, op, n): versions that are there more than once; a well-formed store has none."""
+    return versions.groupBy("k", "seq", "op").agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def validate(batches: DataFrame, count: str = "cnt") -> DataFrame:
     """(bid, status): OK, or why the batch is corrupt.  All or nothing: a faulty batch applies no record."""
     bad = F.exists("ops", lambda o: ~o["op"].isin(0, 1))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.model import PUT
+from palimpsest.operators.ordered import key_blocks, previous
 from palimpsest.operators.resolve import as_of, latest, newest
 
 
@@ -54,11 +55,10 @@ def known_keys(log: DataFrame, candidates: DataFrame) -> DataFrame:
     return log.select("k").distinct().join(candidates.select("k").distinct(), "k", "left_semi")
 
 
-def neighbours(log: DataFrame, block) -> DataFrame:
+def neighbours(log: DataFrame, block: Column | None = None) -> DataFrame:
     """Every live key with the one before and the one after it (a cursor's Prev and Next)."""
-    from palimpsest.operators.ordered import previous
-
     keys = latest(log).select("k")
+    block = key_blocks(keys, "k") if block is None else block
     with_prev = previous(keys, block, F.col("k"), F.col("k"), "prev")
     after = with_prev.filter("prev is not null").select(F.col("prev").alias("k"), F.col("k").alias("next"))
     return with_prev.join(after, "k", "left").select("k", "prev", "next")

@@ -31,5 +31,6 @@ def logs_to_replay(logs: DataFrame, edits: DataFrame) -> DataFrame:
 
 def levels(edits: DataFrame) -> DataFrame:
     """Per level: live files and their bytes."""
-    sizes = edits.filter(F.col("kind") == "add").select(F.col("level").cast("bigint").alias("lvl"), F.col("number").alias("num"), "file_size").dropDuplicates(["lvl", "num"])
+    sizes = edits.filter(F.col("kind") == "add").select(F.col("level").cast("bigint").alias("lvl"), F.col("number").alias("num"), "file_size", "edit_no")
+    sizes = sizes.groupBy("lvl", "num").agg(F.max_by("file_size", "edit_no").alias("file_size"))  # a number added again counts as added last
     return live_files(edits).join(sizes, ["lvl", "num"]).groupBy("lvl").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))

@@ -10,6 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def key_blocks(df: DataFrame, key: str, rows: int = 1_000_000, most: int = 1024) -> Column:
+    """A block column that grows with ``key``, of about ``rows`` rows a block: cut at quantiles of a sample chosen by a hash of the key."""
+    n = df.count()
+    blocks = min(most, -(-n // rows))
+    if blocks < 2:
+        return F.lit(0)
+    share = max(1, min(1 << 30, (100 * blocks << 30) // n))
+    some = sorted(r[0] for r in df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share).select(key).collect())  # about 100 a block
+    cuts = sorted({some[len(some) * k // blocks] for k in range(1, blocks)}) if some else []
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+
+
 def _carried(df: DataFrame, block: Column, value: Column) -> tuple[DataFrame, DataFrame]:
     rows = df.withColumn("_block", block)
     sums = rows.groupBy("_block").agg(F.sum(value).alias("_sum"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.model import InvalidArgument
@@ -25,16 +25,21 @@ def entry(log: DataFrame, index: int) -> DataFrame:
     return log.filter(F.col("idx") == index)
 
 
+def last_index(log: DataFrame) -> int:
+    """The index of the last entry; 0 of an empty log.  One row is read."""
+    return log.agg(F.max("idx")).first()[0] or 0
+
+
 def get_range(log: DataFrame, start: int, end: int) -> DataFrame:
-    """Entries start <= idx < end; the bounds reach the scan."""
-    if start < 1 or end <= start:
+    """Entries start <= idx < end; the bounds reach the scan.  The end may lie no more than one beyond the place of the next entry."""
+    if start < 1 or end <= start or end > last_index(log) + 2:
         raise InvalidArgument(f"range [{start}, {end})")
     return log.filter((F.col("idx") >= start) & (F.col("idx") < end))
 
 
 def truncate(log: DataFrame, index: int) -> DataFrame:
-    """The log before ``index``."""
-    if index < 1:
+    """The log before ``index``, which is an entry's or the next one's."""
+    if index < 1 or index > last_index(log) + 1:
         raise InvalidArgument(f"index {index}")
     return log.filter(F.col("idx") < index)
 
@@ -75,6 +80,33 @@ def spliced(follower: DataFrame, leader: DataFrame) -> DataFrame:
     return keep.unionByName(rest).select("idx", "term")
 
 
+def follower_append(follower: DataFrame, entries: DataFrame, *, term: int, current_term: int, prev_idx: int, prev_term: int, leader_commit: int, committed: int) -> tuple[DataFrame, dict]:
+    """What a follower does with an append request: (its log after it, the answer).
+
+    A request of an older term, or one whose previous entry the follower does not hold, changes nothing and fails.  Else
+    entries that the follower has stay, it is cut at the first of another term, and takes the rest; what lies beyond the
+    request stays where nothing conflicts.  The commit index goes to the leader's, no further than the request's last entry, and never back.
+    """
+    answer = {"success": False, "term": max(term, current_term), "commit_index": committed}
+    if term < current_term or not matches(follower, prev_idx, prev_term).first().ok:
+        return follower, answer
+    mine = follower.select("idx", F.col("term").alias("mine"))
+    new = entries.join(mine, "idx", "left").filter(F.col("mine").isNull() | (F.col("mine") != F.col("term")))
+    lacks, count = new.agg(F.min("idx")).first()[0], entries.count()
+    answer |= {"success": True, "commit_index": max(committed, min(leader_commit, prev_idx + count))}
+    if lacks is None:
+        return follower, answer
+    return truncate(follower, lacks).unionByName(entries.filter(F.col("idx") >= lacks)), answer
+
+
+def append(log: DataFrame, entries: DataFrame) -> DataFrame:
+    """The log with ``entries``, which must go on from its end without a gap or a repeat."""
+    low, high, n, distinct = entries.agg(F.min("idx"), F.max("idx"), F.count("*"), F.count_distinct("idx")).first()
+    if n and (low != last_index(log) + 1 or high - low + 1 != n or distinct != n):
+        raise InvalidArgument(f"entries {low} to {high} after {last_index(log)}")
+    return log.unionByName(entries)
+
+
 def commit_index(peers: DataFrame, log: DataFrame, term: int, committed: int = 0) -> DataFrame:
     """A3: (commit_index): the greatest index that a majority of ``peers(peer, mi)`` holds, if its entry is of the current
     term and beyond ``committed``; else ``committed``."""
@@ -104,13 +136,35 @@ def votes(logs: DataFrame) -> DataFrame:
 
 def granted(requests: DataFrame, voters: DataFrame) -> DataFrame:
     """(voter, cand): whom each voter grants its vote: the first to ask, of those at a term as new and with a log as new
-    as its own.  ``requests(cand, term, li, lt, arrival, voter)``, ``voters(voter, term, li, lt)``."""
-    v = voters.select("voter", F.col("term").alias("vt"), F.col("li").alias("vli"), F.col("lt").alias("vlt"))
-    able = requests.join(v, "voter").filter((F.col("term") >= F.col("vt")) & up_to_date(F.col("lt"), F.col("li"), F.col("vlt"), F.col("vli")))
+    as its own.  ``requests(cand, term, li, lt, arrival, voter)``, ``voters(voter, term, li, lt)``.  With a column
+    ``voted_for``, a vote given in the voter's term holds: in that term only the same candidate gets it again."""
+    before = F.col("voted_for") if "voted_for" in voters.columns else F.lit(None)
+    v = voters.select("voter", F.col("term").alias("vt"), F.col("li").alias("vli"), F.col("lt").alias("vlt"), before.alias("vf"))
+    free = (F.col("term") > F.col("vt")) | F.col("vf").isNull() | (F.col("vf") == F.col("cand"))
+    able = requests.join(v, "voter").filter((F.col("term") >= F.col("vt")) & free & up_to_date(F.col("lt"), F.col("li"), F.col("vlt"), F.col("vli")))
     newest = able.groupBy("voter").agg(F.max("term").alias("term"))
     return able.join(newest, ["voter", "term"]).groupBy("voter").agg(F.min_by("cand", "arrival").alias("cand"))
 
 
+def roles(events: DataFrame) -> DataFrame:
+    """(node, at, kind, term, role) after every event of ``events(node, at, kind, seen)``, ``at`` unique in a node.
+
+    Kinds: ``timeout`` makes a candidate of the next term; ``won`` makes a candidate the leader; ``saw`` a message of term
+    ``seen`` makes a follower of a newer term.  Nodes begin as followers of term 0.  A node's term is the number of its
+    timeouts plus the most that a term it saw was ahead of those before it, so windows tell it without a fold.
+    """
+    order = Window.partitionBy("node").orderBy("at")
+    timeouts = F.count_if(F.col("kind") == "timeout").over(order)
+    ahead = F.max(F.when(F.col("kind") == "saw", F.col("seen") - F.col("timeouts")).otherwise(0)).over(order)
+    df = events.withColumn("timeouts", timeouts).withColumn("term", (F.col("timeouts") + F.greatest(ahead, F.lit(0))).cast("bigint"))
+    risen = (F.col("kind") == "saw") & (F.col("term") > F.coalesce(F.lag("term").over(order), F.lit(0)))
+    df = df.withColumn("turn", F.when(F.col("kind") == "timeout", "candidate").when(risen, "follower"))
+    held = F.coalesce(F.last("turn", ignorenulls=True).over(order), F.lit("follower"))
+    df = df.withColumn("turn", F.when((F.col("kind") == "won") & (held == "candidate"), "leader").otherwise(F.col("turn")))
+    role = F.coalesce(F.last("turn", ignorenulls=True).over(order), F.lit("follower"))
+    return df.select("node", "at", "kind", "term", role.alias("role"))
+
+
 def applied(log: DataFrame, commit: int) -> DataFrame:
     """Live state once all entries up to ``commit`` have been applied in order."""
     return latest(log.filter(F.col("idx") <= commit).select("k", F.col("idx").alias("seq"), "op", "v")).select("k", "v", F.col("seq").alias("idx"))

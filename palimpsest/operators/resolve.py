@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.model import PUT
-from palimpsest.operators.ordered import running_sum
+from palimpsest.operators.ordered import key_blocks, running_sum
 
 
 def newest(versions: DataFrame, by: str = "seq", *keys: str) -> DataFrame:
@@ -54,14 +54,15 @@ def history(log: DataFrame, width: int = 1 << 20) -> DataFrame:
     return rows.withColumn("_own", own).join(after, ["k", "_s"]).select("k", "seq", "op", "v", F.coalesce("_own", "_after").alias("valid_to"))
 
 
-def internal_order(log: DataFrame, block: Column, width: int = 1 << 20) -> DataFrame:
+def internal_order(log: DataFrame, block: Column | None = None, width: int = 1 << 20) -> DataFrame:
     """O1: position of every version by key, newest first, a put before a deletion of the same sequence.
 
     Rows are numbered within a key and ``width`` sequences; what comes before is summed over one row for each of those,
     in blocks by ``block``, a column of ``k`` that grows with it.
     """
     rows = log.withColumn("_s", -F.floor(F.col("seq") / width))
-    groups = running_sum(rows.groupBy("k", "_s").agg(F.count("*").alias("_n")), block, [F.col("k"), F.col("_s")], F.col("_n"), "_end")
+    sizes = rows.groupBy("k", "_s").agg(F.count("*").alias("_n"))
+    groups = running_sum(sizes, key_blocks(sizes, "k") if block is None else block, [F.col("k"), F.col("_s")], F.col("_n"), "_end")
     own = F.row_number().over(Window.partitionBy("k", "_s").orderBy(F.col("seq").desc(), F.col("op").desc()))
     placed = rows.withColumn("_own", own).join(groups, ["k", "_s"])
     return placed.select((F.col("_end") - F.col("_n") + F.col("_own")).alias("pos"), "k", "seq", "op")

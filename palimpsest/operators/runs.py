@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.coding import varint_length
 from palimpsest.model import BLOCK_SIZE, DELETE, PUT, RESTART_INTERVAL
-from palimpsest.operators.ordered import previous, row_numbers, running_sum
+from palimpsest.operators.ordered import key_blocks, previous, row_numbers, running_sum
 from palimpsest.operators.resolve import live, newest
 
 
@@ -57,15 +59,25 @@ def seek(runs: DataFrame, target: str) -> DataFrame:
     return runs.filter(F.col("k") >= target).select("gen", "k", "op", "v")
 
 
-def shared_prefix(a: Column, b: Column, most: int = 64) -> Column:
-    """Length of the common beginning of two texts, up to ``most`` characters."""
-    n = F.least(F.length(a), F.length(b), F.lit(most))
-    differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
-    return F.coalesce(F.get(differs, 0) - 1, n, F.lit(0)).cast("bigint")
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Bytes of the common beginning of two texts in UTF-8, of any length.  By halving: of the hexadecimal digits, whether
+    ever longer beginnings are equal decides one binary digit of the length at a time."""
+    x, y = F.hex(F.encode(a, "utf-8")), F.hex(F.encode(b, "utf-8"))
+    most = (F.least(F.length(x), F.length(y)) / 2).cast("int")
+
+    def step(acc, width):
+        longer = acc["n"] + width
+        same = (longer <= acc["most"]) & (F.substring(acc["x"], 2 * acc["n"] + 1, 2 * width) == F.substring(acc["y"], 2 * acc["n"] + 1, 2 * width))
+        return F.struct(acc["x"].alias("x"), acc["y"].alias("y"), acc["most"].alias("most"), F.when(same, longer).otherwise(acc["n"]).alias("n"))
 
+    start = F.struct(x.alias("x"), y.alias("y"), most.alias("most"), F.lit(0).alias("n"))
+    widths = F.transform(F.sequence(F.length(F.bin(most)) - 1, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.coalesce(F.aggregate(widths, start, step)["n"], F.lit(0)).cast("bigint")
 
-def entry_prefixes(keys: DataFrame, block: Column) -> DataFrame:
+
+def entry_prefixes(keys: DataFrame, block: Column | None = None) -> DataFrame:
     """(k, slot, shared): place after the last restart, and bytes that the entry shares with the key before it."""
+    block = key_blocks(keys, "k") if block is None else block
     placed = row_numbers(keys, block, [F.col("k")], "i")
     linked = previous(placed, block, F.col("k"), F.col("k"), "p")
     slot = F.pmod(F.col("i") - 1, F.lit(RESTART_INTERVAL))
@@ -79,22 +91,34 @@ def block_cuts(entries: DataFrame, limit: int = BLOCK_SIZE) -> DataFrame:
     """
     import pyarrow as pa
 
+    import numpy as np
+
     def fold(batches):
-        run, block, n, acc = None, 0, 0, 0
-        for b in batches:
-            out = []
-            for r, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if r != run:
-                    if n:
-                        out.append((run, block, n, acc))
-                    run, block, n, acc = r, 0, 0, 0
-                n, acc = n + 1, acc + size
-                if acc >= limit:
-                    out.append((run, block, n, acc))
-                    block, n, acc = block + 1, 0, 0
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(4)], ["run", "block", "entries", "bytes"])
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (run, block, n, acc)], ["run", "block", "entries", "bytes"])
+        held, current, block = None, None, 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                now = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)]
+                held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if held is None or not len(held[0]):
+                continue
+            run, size = held
+            total, out, at = np.cumsum(size), [], 0
+            ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, len(run))
+            for end in ends.tolist():
+                open_end = b is not None and end == len(run)  # the run may go on
+                while at < end:
+                    if run[at] != current:
+                        current, block = run[at], 0
+                    before = total[at - 1] if at else 0
+                    to = int(np.searchsorted(total, before + limit)) + 1  # the entry that passes the limit still joins
+                    if to > end:
+                        if open_end:
+                            break
+                        to = end
+                    out.append((current, block, to - at, total[to - 1] - before))
+                    block, at = block + 1, to
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[c]) for x in out], pa.int64()) for c in range(4)], ["run", "block", "entries", "bytes"])
+            held = [x[at:] for x in held]
 
     ordered = entries.select(F.col("run").cast("bigint"), "k", F.col("size").cast("bigint")).repartition("run").sortWithinPartitions("run", "k")
     return ordered.select("run", "size").mapInArrow(fold, "run bigint, block bigint, entries bigint, bytes bigint")
@@ -106,7 +130,8 @@ def entry_bytes(k: Column, v: Column) -> Column:
     return F.lit(1).cast("bigint") + varint_length(key) + varint_length(value) + key + value
 
 
-def offsets(entries: DataFrame, block: Column) -> DataFrame:
+def offsets(entries: DataFrame, block: Column | None = None) -> DataFrame:
     """Running file offset of ``entries(k, size)`` in key order."""
+    block = key_blocks(entries, "k") if block is None else block
     placed = running_sum(entries, block, [F.col("k")], F.col("size"), "end")
     return placed.select("k", "size", (F.col("end") - F.col("size")).alias("off"))

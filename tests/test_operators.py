@@ -1,5 +1,7 @@
 """Edge cases of the operators, and the plans they must have."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,8 +67,87 @@ def test_log_ranges_and_truncation(spark):
     for bad in ((0, 3), (2, 2)):
         with pytest.raises(InvalidArgument):
             replog.get_range(log, *bad)
+    for bad in (0, 5, 99):
+        with pytest.raises(InvalidArgument):
+            replog.truncate(log, bad)
+    assert replog.truncate(log, 4).count() == 3 and replog.get_range(log, 3, 5).count() == 1
     with pytest.raises(InvalidArgument):
-        replog.truncate(log, 0)
+        replog.get_range(log, 3, 6)
+    more = lambda *idx: spark.createDataFrame([(i, 2) for i in idx], "idx long, term long")
+    log = log.select("idx", "term")
+    assert replog.append(log, more(4, 5)).count() == 5 and replog.append(log, more(4).filter("false")).count() == 3
+    for bad in ((5,), (3, 4), (4, 6), (4, 4)):
+        with pytest.raises(InvalidArgument):
+            replog.append(log, more(*bad))
+
+
+def brute_append(mine, request, current, committed):
+    """A follower's log, a list of terms, after an append request."""
+    term, prev, prev_term, new, leader_commit = request
+    ok = term >= current and (prev == 0 or prev <= len(mine) and mine[prev - 1] == prev_term)
+    if not ok:
+        return mine, (False, max(term, current), committed)
+    out = list(mine)
+    for k, t in enumerate(new):
+        if prev + k < len(out) and out[prev + k] != t:
+            out = out[: prev + k]
+        if prev + k >= len(out):
+            out.append(t)
+    return out, (True, max(term, current), max(committed, min(leader_commit, prev + len(new))))
+
+
+def test_append_requests_against_plain_lists(spark):
+    draw = random.Random(3)
+    for _ in range(14):
+        mine = sorted(draw.randint(1, 3) for _ in range(draw.randint(0, 5)))
+        prev = draw.randint(0, 6)
+        request = (draw.randint(2, 4), prev, mine[prev - 1] if 0 < prev <= len(mine) and draw.random() < 0.8 else 2, sorted(draw.randint(1, 4) for _ in range(draw.randint(0, 4))), draw.randint(0, 9))
+        rows = spark.createDataFrame([(prev + k + 1, t) for k, t in enumerate(request[3])], "idx long, term long")
+        log, answer = replog.follower_append(log_of(spark, mine).select("idx", "term"), rows, term=request[0], current_term=3, prev_idx=prev, prev_term=request[2], leader_commit=request[4], committed=1)
+        want, said = brute_append(mine, request, 3, 1)
+        assert [r.term for r in log.orderBy("idx").collect()] == want and tuple(answer.values()) == said, (mine, request)
+
+
+def test_roles_against_a_fold(spark):
+    draw = random.Random(4)
+    events = [(n, at, draw.choice(("timeout", "won", "saw", "saw")), draw.randint(0, 12)) for n in range(4) for at in range(60)]
+    got = {(r.node, r.at): (r.term, r.role) for r in replog.roles(spark.createDataFrame(events, "node int, at int, kind string, seen long")).collect()}
+    for n in range(4):
+        term, role = 0, "follower"
+        for _, at, kind, seen in (e for e in events if e[0] == n):
+            if kind == "timeout":
+                term, role = term + 1, "candidate"
+            elif kind == "won" and role == "candidate":
+                role = "leader"
+            elif kind == "saw" and seen > term:
+                term, role = seen, "follower"
+            assert got[n, at] == (term, role)
+
+
+def test_a_given_vote_holds_in_its_term(spark):
+    ask = spark.createDataFrame([(1, 5, 9, 2, 1, "v"), (2, 5, 9, 2, 2, "v"), (2, 5, 9, 2, 1, "w"), (3, 6, 9, 2, 1, "w"), (1, 5, 9, 2, 1, "x")], "cand int, term long, li long, lt long, arrival int, voter string")
+    voters = spark.createDataFrame([("v", 5, 0, 0, 2), ("w", 5, 0, 0, 1), ("x", 5, 0, 0, 4)], "voter string, term long, li long, lt long, voted_for int")
+    assert {(r.voter, r.cand) for r in replog.granted(ask, voters).collect()} == {("v", 2), ("w", 3)}
+
+
+def test_repeated_versions_and_sizes_of_files_added_again(spark):
+    log = spark.createDataFrame([("a", 1, 1), ("a", 1, 1), ("a", 2, 1), ("b", 1, 0)], "k string, seq long, op int")
+    assert [tuple(r) for r in batches.repeated(log).collect()] == [("a", 1, 1, 2)]
+    edits = spark.createDataFrame([(1, "add", 0, 7, 100), (2, "delete", 0, 7, None), (3, "add", 0, 7, 300)], "edit_no long, kind string, level int, number long, file_size long")
+    assert [tuple(r) for r in manifest.levels(edits).collect()] == [(0, 1, 300)]
+
+
+def test_shared_prefixes_in_bytes_of_any_length(spark):
+    pairs = [("é" * 100, "é" * 70 + "x"), ("a", "b"), ("", "a"), ("same", "same"), ("日本x", "日本y"), ("日", "旦"), ("x" * 5000 + "a", "x" * 5000 + "b"), (None, "a")]
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", runs.shared_prefix(F.col("a"), F.col("b")).alias("n")).collect():
+        x, y = (r.a or "").encode(), r.b.encode()
+        assert r.n == next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+
+def test_key_blocks_grow_with_the_key(spark):
+    keys = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    got = keys.select("k", ordered.key_blocks(keys, "k", rows=100).alias("b")).orderBy("k").collect()
+    assert [r.b for r in got] == sorted(r.b for r in got) and 30 < len({r.b for r in got}) <= 50
 
 
 @pytest.mark.parametrize("follower,leader,want", [
