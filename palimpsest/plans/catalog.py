@@ -60,7 +60,7 @@ def kv_point_get(spark, sf_dir):
 
 @query
 def kv_multi_get(spark, sf_dir):
-    wanted = table(spark, sf_dir, "customer").filter("c_custkey <= 300").select(F.col("c_custkey").cast("string").alias("k"))
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"))
     return lookup.multi_get(change_log(spark, sf_dir), wanted)
 
 
@@ -82,7 +82,7 @@ def kv_bounds(spark, sf_dir):
 
 @query
 def kv_neighbours(spark, sf_dir):
-    return lookup.neighbours(change_log(spark, sf_dir), F.substring("k", 1, 1))
+    return lookup.neighbours(change_log(spark, sf_dir))
 
 
 @query
@@ -102,7 +102,7 @@ def version_history(spark, sf_dir):
 
 @query
 def internal_order(spark, sf_dir):
-    return _op(resolve.internal_order(change_log(spark, sf_dir), F.substring("k", 1, 2)))
+    return _op(resolve.internal_order(change_log(spark, sf_dir)))
 
 
 # -- batches and the write-ahead log ----------------------------------------------
@@ -126,7 +126,7 @@ def batch_insert(spark, sf_dir):
 
 @query
 def batch_append(spark, sf_dir):
-    return _op(batches.concatenate(_batched(spark, sf_dir).filter("bid between 10 and 12"), "bid"))
+    return _op(batches.concatenate(_batched(spark, sf_dir), "bid"))
 
 
 @query
@@ -198,7 +198,13 @@ def run_seek(spark, sf_dir):
 
 @query
 def entry_prefix(spark, sf_dir):
-    return runs.entry_prefixes(ordered_keys(spark, sf_dir), F.substring("k", 1, 2))
+    return runs.entry_prefixes(ordered_keys(spark, sf_dir))
+
+
+@query
+def entry_prefix_wide(spark, sf_dir):
+    """Long keys beyond ASCII: lengths are bytes."""
+    return runs.entry_prefixes(ordered_keys(spark, sf_dir).select(F.concat(F.lit("ключ-é" * 12), "k").alias("k")))
 
 
 @query
@@ -210,23 +216,25 @@ def block_cuts(spark, sf_dir):
 @query
 def run_offsets(spark, sf_dir):
     entries = resolve.latest(change_log(spark, sf_dir)).select("k", runs.entry_bytes(F.col("k"), F.col("v")).alias("size"))
-    return runs.offsets(entries, F.substring("k", 1, 1))
+    return runs.offsets(entries)
 
 
 # -- manifest ----------------------------------------------------------------------
 
 
 def _edits(spark, sf_dir):
-    """A run of level 0 a thousand events; every fourth edit adds one of level 1; the eighth deletes what it merged."""
+    """A run of level 0 a thousand events; every fourth edit adds one of level 1; every eighth deletes the runs of level 0 before
+    it, and the edit before that one of level 1."""
     n = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).cast("bigint").alias("n")).distinct()
     row = lambda df, kind, level, number, size=None: df.select(F.col("n").alias("edit_no"), F.lit(kind).alias("kind"), F.lit(level).cast("int").alias("level"), number.cast("bigint").alias("number"), (size if size is not None else F.lit(None)).cast("bigint").alias("file_size"))
     merged, adds0 = n.filter("n % 4 = 3"), n
-    dels = n.filter("n <= 7").select((F.lit(8) + 0 * F.col("n")).alias("n"), (F.col("n") + 10).alias("num"))
+    eighth = (F.floor(F.col("n") / 8) * 8 + 8).cast("bigint")
+    dels = n.select(eighth.alias("n"), (F.col("n") + 10).alias("num")).join(n, "n", "left_semi")
     parts = [
         row(adds0, "add", 0, F.col("n") + 10, F.col("n") * 100 + 4096),
         row(merged, "add", 1, F.col("n") + 100, F.col("n") * 1000 + 8192),
         dels.select(F.col("n").alias("edit_no"), F.lit("delete").alias("kind"), F.lit(0).alias("level"), F.col("num").alias("number"), F.lit(None).cast("bigint").alias("file_size")),
-        row(n.filter("n = 7"), "delete", 1, F.lit(103)),
+        row(n.filter("n % 8 = 7"), "delete", 1, F.col("n") + 96),
         row(n, "log", None, F.col("n") + 2),
         row(n, "prev_log", None, F.col("n") + 1),
         row(n, "next_file", None, F.col("n") + 200),
@@ -308,10 +316,16 @@ def log_matches(spark, sf_dir):
     return out
 
 
+def _counted(e):
+    """The events with their number, ``n``."""
+    return e.crossJoin(F.broadcast(e.agg((F.max("event_id") + 1).alias("n"))))
+
+
 def _two_logs(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    leader = e.filter("event_id < 9000").select((F.col("event_id") + 1).alias("idx"), entry_term(F.col("event_id")).alias("term"))
-    follower = e.filter("event_id < 9500").select((F.col("event_id") + 1).alias("idx"), F.when(F.col("event_id") < 6000, entry_term(F.col("event_id"))).otherwise(99).alias("term"))
+    """The leader has nine tenths of the events as entries; the follower has 19 of 20, from six tenths on of a term of its own."""
+    e = _counted(table(spark, sf_dir, "events"))
+    leader = e.filter("event_id * 10 < n * 9").select((F.col("event_id") + 1).alias("idx"), entry_term(F.col("event_id")).alias("term"))
+    follower = e.filter("event_id * 20 < n * 19").select((F.col("event_id") + 1).alias("idx"), F.when(F.expr("event_id * 10 < n * 6"), entry_term(F.col("event_id"))).otherwise(10**9).alias("term"))
     return follower, leader
 
 
@@ -325,6 +339,20 @@ def raft_conflict_truncate(spark, sf_dir):
     return replog.spliced(*_two_logs(spark, sf_dir))
 
 
+@query
+def follower_append(spark, sf_dir):
+    """The follower takes the leader's entries from half of its log on: where its log ends after that, and what it answers."""
+    follower, leader = _two_logs(spark, sf_dir)
+    last = replog.last_index(leader)
+    prev = last // 2
+    prev_term = leader.filter(F.col("idx") == prev).first()
+    log, answer = replog.follower_append(
+        follower, leader.filter(F.col("idx") > prev), term=10**9 + 1, current_term=10**9, prev_idx=prev, prev_term=prev_term.term if prev_term else 0, leader_commit=last - 10, committed=prev // 2
+    )
+    found = log.groupBy("term").agg(F.count("*").alias("entries"), F.max("idx").alias("last_idx"))
+    return found.select("term", "entries", "last_idx", F.lit(answer["success"]).alias("success"), F.lit(answer["commit_index"]).cast("bigint").alias("commit_index"), F.lit(answer["term"]).cast("bigint").alias("answer_term"))
+
+
 @query
 def raft_commit_index(spark, sf_dir):
     peers = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("peer")).agg((F.max("event_id") + 1).alias("mi"))
@@ -349,6 +377,24 @@ def vote_granted(spark, sf_dir):
     return replog.granted(requests, voters.withColumn("lt", entry_term(F.col("li") - 1)).withColumn("term", F.lit(5).cast("bigint")))
 
 
+@query
+def vote_kept(spark, sf_dir):
+    """As vote_granted, but every voter has given its vote of term 5 to the least user that has asked any."""
+    e = table(spark, sf_dir, "events")
+    requests = e.groupBy(F.col("user_id").alias("cand"), F.col("event_type").alias("voter")).agg((F.max("event_id") + 1).alias("li"), F.min("event_id").alias("arrival"))
+    requests = requests.withColumn("lt", entry_term(F.col("li") - 1)).withColumn("term", F.lit(5).cast("bigint"))
+    voters = e.groupBy(F.col("event_type").alias("voter")).agg(F.lit(0).cast("bigint").alias("li"), F.min("user_id").alias("voted_for"))
+    return replog.granted(requests, voters.withColumn("lt", F.lit(0).cast("bigint")).withColumn("term", F.lit(5).cast("bigint")))
+
+
+@query
+def role_transitions(spark, sf_dir):
+    """Users as nodes: errors are timeouts, purchases won elections, other events messages of a term that grows with time."""
+    kind = F.when(F.col("event_type") == "error", "timeout").when(F.col("event_type") == "purchase", "won").otherwise("saw")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("node"), F.col("event_id").alias("at"), kind.alias("kind"), F.floor(F.col("event_id") / 700).cast("bigint").alias("seen"))
+    return replog.roles(events)
+
+
 @query
 def apply_committed(spark, sf_dir):
     return replog.applied(replicated_log(spark, sf_dir), 7000)
@@ -357,7 +403,7 @@ def apply_committed(spark, sf_dir):
 @query
 def append_requests(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    peers = e.filter("event_id < 9900").groupBy(F.col("event_type").alias("peer")).agg((F.max("event_id") + 1).alias("m"))
+    peers = _counted(e).filter("event_id * 100 < n * 99").groupBy(F.col("event_type").alias("peer")).agg((F.max("event_id") + 1).alias("m"))
     return replog.append_requests(peers, e.select((F.col("event_id") + 1).alias("idx")))
 
 
@@ -369,13 +415,13 @@ def replication_progress(spark, sf_dir):
 
 @query
 def pending_answers(spark, sf_dir):
-    pending = table(spark, sf_dir, "events").filter("event_id % 97 = 5").select((F.col("event_id") + 1).alias("idx"))
+    pending = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("idx"))
     return replog.answered(pending, replicated_log(spark, sf_dir), 7000)
 
 
 @query
 def leader_append(spark, sf_dir):
-    proposals = table(spark, sf_dir, "events").filter("event_id < 50").select((F.col("event_id") + 1).alias("n"), F.lit(1).alias("op"), F.col("user_id").cast("string").alias("k"), F.col("event_type").alias("v"))
+    proposals = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("n"), F.lit(1).alias("op"), F.col("user_id").cast("string").alias("k"), F.col("event_type").alias("v"))
     return _op(replog.appended(replicated_log(spark, sf_dir), proposals, 77))
 
 
@@ -404,7 +450,9 @@ def varint_len(spark, sf_dir):
 
 @query
 def varint_bytes(spark, sf_dir):
-    n = change_log(spark, sf_dir).select((F.col("seq") * F.col("seq")).alias("n")).withColumn("bytes", coding.varint_hex(F.col("n")))
+    """Squares, and integers over the whole range up to 2^63."""
+    log = change_log(spark, sf_dir)
+    n = log.select((F.col("seq") * F.col("seq")).alias("n")).unionByName(log.select((F.col("seq") % 10_000 * 922_337_203_685_477 + F.col("seq")).alias("n"))).withColumn("bytes", coding.varint_hex(F.col("n")))
     return n.withColumn("back", coding.varint_value(F.col("bytes")))
 
 
@@ -425,32 +473,53 @@ def key_hash(spark, sf_dir):
 
 
 def _filter_keys(spark, sf_dir):
-    """The keys of a filter, a thousand of them at any scale."""
-    keys = table(spark, sf_dir, "orders").filter("o_orderkey < 1000").select((F.col("o_orderkey") * 7919).cast("string").alias("k")).distinct()
-    return keys.withColumn("h", hashing.key_hash(F.col("k")))
+    """The keys of a filter over all orders, and one row with its number of bits."""
+    keys = hash_keys(spark, sf_dir).withColumn("h", hashing.key_hash(F.col("k")))
+    return keys, keys.agg((F.floor((F.greatest(F.lit(hashing.FEWEST_BITS), F.count("*") * hashing.BITS_PER_KEY) + 7) / 8) * 8).cast("bigint").alias("bits"))
 
 
 @query
 def bloom_bits(spark, sf_dir):
-    bits = F.lit(hashing.filter_bits(1000)).cast("bigint")
-    return _filter_keys(spark, sf_dir).select("k", F.posexplode(hashing.bloom_positions(F.col("h"), bits)).alias("j", "bitpos")).withColumn("j", F.col("j").cast("bigint"))
+    keys, bits = _filter_keys(spark, sf_dir)
+    return keys.crossJoin(F.broadcast(bits)).select("k", F.posexplode(hashing.bloom_positions(F.col("h"), F.col("bits"))).alias("j", "bitpos")).withColumn("j", F.col("j").cast("bigint"))
 
 
 @query
 def bloom_probe(spark, sf_dir):
     """Keys not in the filter, and which of them it lets through; keys in the filter always pass."""
-    bits = F.lit(hashing.filter_bits(1000)).cast("bigint")
-    set_bits = _filter_keys(spark, sf_dir).select(F.explode(hashing.bloom_positions(F.col("h"), bits)).alias("bitpos")).distinct()
-    asked = table(spark, sf_dir, "customer").filter("c_custkey <= 1000").select((F.col("c_custkey") * 7919 - 3).cast("string").alias("k")).distinct()
-    probe = asked.select("k", F.explode(hashing.bloom_positions(hashing.key_hash(F.col("k")), bits)).alias("bitpos"))
+    keys, bits = _filter_keys(spark, sf_dir)
+    set_bits = keys.crossJoin(F.broadcast(bits)).select(F.explode(hashing.bloom_positions(F.col("h"), F.col("bits"))).alias("bitpos")).distinct()
+    asked = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 7919 - 3).cast("string").alias("k")).distinct()
+    probe = asked.crossJoin(F.broadcast(bits)).select("k", F.explode(hashing.bloom_positions(hashing.key_hash(F.col("k")), F.col("bits"))).alias("bitpos"))
     return probe.join(set_bits.withColumn("hit", F.lit(1)), "bitpos", "left").groupBy("k").agg(F.coalesce(F.min(F.coalesce("hit", F.lit(0))), F.lit(0)).cast("bigint").alias("may_match"))
 
 
+def _bloom_groups(spark, sf_dir):
+    """The order keys in groups of a few dozen, as a filter block has them."""
+    keys = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 100).cast("bigint").alias("grp"), (F.col("o_orderkey") * 7919).cast("string").alias("k")).distinct()
+    return keys.withColumn("h", hashing.key_hash(F.col("k")))
+
+
+@query
+def bloom_build(spark, sf_dir):
+    """A filter for every group of order keys, as bytes."""
+    return hashing.bloom_bytes(_bloom_groups(spark, sf_dir), ["grp"])
+
+
+@query
+def bloom_match(spark, sf_dir):
+    """Customers' keys held against the bytes of the filter of their group: how many it lets through."""
+    filters = hashing.bloom_bytes(_bloom_groups(spark, sf_dir), ["grp"])
+    asked = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 100).cast("bigint").alias("grp"), (F.col("c_custkey") * 7919 - 3).cast("string").alias("k"))
+    lets = asked.join(filters, "grp").select("grp", hashing.bloom_may_match(F.col("filter"), hashing.key_hash(F.col("k"))).alias("ok"))
+    return lets.groupBy("grp").agg(F.count("*").alias("asked"), F.count_if("ok").alias("let_through"))
+
+
 @query
 def filter_groups(spark, sf_dir):
     """keys by the 2 KiB granule of the file offset of their entry's block, and the bits of each granule's filter."""
     entries = ordered_keys(spark, sf_dir).select("k", F.lit(64).cast("bigint").alias("size"))
-    placed = runs.offsets(entries, F.substring("k", 1, 2))
+    placed = runs.offsets(entries)
     granule = F.shiftright(F.col("off") - F.col("off") % 4096, 11)
     grouped = placed.groupBy(granule.alias("granule")).agg(F.count("*").alias("n_keys"))
     return grouped.withColumn("bits", F.floor((F.greatest(F.lit(64), F.col("n_keys") * 10) + 7) / 8).cast("bigint") * 8)
