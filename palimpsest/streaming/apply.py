@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators.resolve import live
+from palimpsest.operators.resolve import live, newest
 from palimpsest.store import Store
 
 
@@ -23,15 +24,16 @@ def resolved(stream: DataFrame) -> DataFrame:
 
 def apply_available(stream: DataFrame, folder: str) -> DataFrame:
     """Apply all that is there to the state, and return the live state.  Checkpoint and state lie under ``folder``: a later
-    call goes on where this one ended."""
+    call goes on where this one ended.  A micro-batch writes the keys that it changed, in a folder of its own: one that is
+    run again after a crash writes the same folder again, and loses nothing of the others."""
     spark = stream.sparkSession
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/state")
+        batch.write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
 
-    run = resolved(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run = resolved(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return live(spark.read.parquet(f"{folder}/state")).select("k", "v", "seq")
+    return live(newest(spark.read.schema("k string, op int, v string, seq bigint").parquet(f"{folder}/state"))).select("k", "v", "seq")
 
 
 def into_store(stream: DataFrame, store: Store, folder: str) -> None:
@@ -49,5 +51,9 @@ def into_store(stream: DataFrame, store: Store, folder: str) -> None:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder where driver and executors both can write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/palimpsest"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
+        base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
