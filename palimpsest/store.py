@@ -8,6 +8,7 @@ One writer at a time, any number of readers.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,14 @@ from palimpsest.operators import lookup, resolve, runs
 from palimpsest.operators.ordered import row_numbers
 
 
+# What a client is told.
+NOT_LEADER, FAILED, TIMED_OUT = "Not the leader", "Propose failed", "Timeout waiting for consensus"
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.snapshots: list[int] = []
-        self._state = {"edit": 0, "last_seq": 0, "next_file": 2, "logs": [], "runs": []}
+        self._state = {"edit": 0, "last_seq": 0, "next_file": 2, "logs": [], "runs": [], "snapshots": []}
         self._recover()
 
     # -- manifest ---------------------------------------------------------
@@ -38,7 +42,7 @@ class Store:
         names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
         if names:
             text = self.spark.read.text(f"{self.path}/manifest/{names[-1]}", wholetext=True).first()[0]
-            self._state = json.loads(text)
+            self._state = {"snapshots": []} | json.loads(text)
 
     def _commit(self, **change) -> None:
         """The state after the edit, in place by one rename."""
@@ -48,7 +52,9 @@ class Store:
         out = fs.create(tmp, True)
         out.write(json.dumps(state).encode())
         out.close()
-        if not fs.rename(tmp, self._fs(name)[1]):
+        # Some file systems rename over a file that is there.
+        if fs.exists(self._fs(name)[1]) or not fs.rename(tmp, self._fs(name)[1]):
+            fs.delete(tmp, False)
             raise InvalidArgument(f"another writer made edit {state['edit']}")
         self._state = state
 
@@ -92,6 +98,9 @@ class Store:
 
     def _append(self, rows: DataFrame, n: int | None) -> int:
         number = self._number()
+        fs, path = self._fs(f"{self.path}/log/{number}")
+        if fs.exists(path):
+            raise InvalidArgument(f"another writer made log {number}")
         rows.write.parquet(f"{self.path}/log/{number}")
         n = self._read(f"log/{number}").count() if n is None else n
         self._commit(last_seq=self.last_seq + n, logs=[*self._state["logs"], number])
@@ -131,13 +140,25 @@ class Store:
     def state(self, snapshot: int | None = None) -> DataFrame:
         return resolve.latest(self.versions(), snapshot)
 
+    @property
+    def snapshots(self) -> list[int]:
+        return self._state["snapshots"]
+
+    def refresh(self) -> None:
+        """The newest state, as other users of the folder have left it."""
+        self._recover()
+
     def snapshot(self) -> int:
-        """A sequence that flushes and compactions keep readable until it is released."""
-        self.snapshots.append(self.last_seq)
+        """A sequence that flushes and compactions keep readable, whoever makes them, until it is released."""
+        self.refresh()
+        self._commit(snapshots=[*self.snapshots, self.last_seq])
         return self.last_seq
 
     def release(self, snapshot: int) -> None:
-        self.snapshots.remove(snapshot)
+        self.refresh()
+        kept = list(self.snapshots)
+        kept.remove(snapshot)
+        self._commit(snapshots=kept)
 
     # -- background work --------------------------------------------------
 
@@ -158,12 +179,14 @@ class Store:
 
     def flush(self) -> None:
         """Logs become one run of level 0; deletions stay, as they hide older runs."""
+        self.refresh()
         if logs := self._state["logs"]:
             run = self._write_run(self._retained(self._read(*[f"log/{n}" for n in logs]), True), 0)
             self._commit(logs=[], runs=[*self._state["runs"], run])
 
     def compact(self, force: bool = False) -> bool:
         """All runs become one of level 1, without deletions; only from COMPACTION_TRIGGER runs of level 0 on."""
+        self.refresh()
         files = self._state["runs"]
         if not files or not force and sum(r["level"] == 0 for r in files) < COMPACTION_TRIGGER:
             return False
@@ -182,17 +205,26 @@ class Store:
 
 
 class Service:
-    """The three calls of a client, as dictionaries: ``success`` or ``found``, and ``error``, never an exception."""
+    """The three calls of a client, as dictionaries: ``success`` or ``found``, and ``error``, never an exception.
+
+    Only a leader writes; ``timeout`` seconds (None: any) are what a write may take before the caller is told so.  It may
+    still come to pass afterwards, as with any replicated store.
+    """
 
-    def __init__(self, store: Store):
-        self.store = store
+    def __init__(self, store: Store, is_leader=lambda: True, timeout: float | None = None):
+        self.store, self.is_leader, self.timeout = store, is_leader, timeout
+        self._calls = ThreadPoolExecutor(1)  # writes one after another
 
     def _try(self, call) -> dict:
+        if not self.is_leader():
+            return {"success": False, "error": NOT_LEADER}
         try:
-            call()
+            self._calls.submit(call).result(self.timeout)
             return {"success": True, "error": ""}
+        except TimeoutError:
+            return {"success": False, "error": TIMED_OUT}
         except Exception as e:  # noqa: BLE001  the caller gets the reason instead
-            return {"success": False, "error": str(e) or type(e).__name__}
+            return {"success": False, "error": f"{FAILED}: {str(e) or type(e).__name__}"}
 
     def put(self, key: str, value: str) -> dict:
         return self._try(lambda: self.store.put(key, value))

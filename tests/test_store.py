@@ -104,3 +104,60 @@ def test_tombstones_are_dropped_after_resolution_only(spark):
     assert resolve.latest(df).count() == 0
     plan = resolve.latest(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("Aggregate")  # the filter stands above
+
+
+def test_snapshots_hold_for_every_user_of_the_folder(spark, tmp_path):
+    writer, reader = Store(spark, str(tmp_path)), None
+    writer.put("a", "1")
+    reader = Store(spark, str(tmp_path))
+    seen = reader.snapshot()
+    writer.refresh()
+    writer.put("a", "2")
+    writer.delete("a")
+    writer.flush()
+    writer.compact(force=True)
+    reader.refresh()
+    assert reader.get("a", seen) == "1" and reader.get("a") is None
+    reader.release(seen)
+    other = Store(spark, str(tmp_path))
+    assert other.snapshots == []
+    writer.refresh()
+    writer.compact(force=True)
+    assert Store(spark, str(tmp_path)).versions().count() == 0
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    one = Store(spark, str(tmp_path))
+    one.put("a", "1")
+    two = Store(spark, str(tmp_path))
+    one.put("a", "2")
+    with pytest.raises(InvalidArgument):
+        two.put("a", "3")
+    assert Store(spark, str(tmp_path)).get("a") == "2"
+
+
+def test_what_a_client_is_told(spark, tmp_path):
+    import time
+
+    store = Store(spark, str(tmp_path))
+    assert Service(store, is_leader=lambda: False).put("k", "v") == {"success": False, "error": "Not the leader"}
+    assert Service(store).put(None, "v")["error"].startswith("Propose failed")
+    slow = Service(store, timeout=0.05)
+    slow.store = type("Slow", (), {"put": lambda self, k, v: time.sleep(0.5)})()
+    assert slow.put("k", "v") == {"success": False, "error": "Timeout waiting for consensus"}
+
+
+def test_cache_holds_pinned_blocks(spark):
+    from palimpsest.operators import cache
+
+    def run(*events):
+        rows = [(i, "k" if len(e) < 2 else e[1], 1, e[0]) for i, e in enumerate(events)]
+        got = cache.simulate(spark.createDataFrame(rows, "at int, k string, charge int, kind string"), 16).first()
+        return got.hits, got.misses, got.evictions, got.charge
+
+    # One key, so one shard, with room for one block.
+    assert run(("get",), ("get",)) == (1, 1, 0, 1)
+    assert run(("pin",), ("prune",), ("get",), ("release",)) == (1, 1, 0, 1)
+    assert run(("pin",), ("erase",), ("get",), ("release",))[:2] == (0, 2)
+    assert run(("pin",), ("erase",), ("release",)) == (0, 1, 0, 0)
+    assert run(("get",), ("prune",), ("get",), ("erase",)) == (0, 2, 0, 0)
