@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def key_blocks(df: DataFrame, key: str, rows: int = 1_000_000, most: int = 1024) -> Column:
+def key_blocks(df: DataFrame, key: str, rows: int = 20_000, most: int = 1024) -> Column:
     """A block column that grows with ``key``, of about ``rows`` rows a block: cut at quantiles of a sample chosen by a hash of the key."""
     n = df.count()
     blocks = min(most, -(-n // rows))
