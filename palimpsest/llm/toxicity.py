@@ -15,6 +15,7 @@ import math
 import re
 import sys
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -36,7 +37,9 @@ WORD = re.compile(r"\w+")
 WINDOW = 6
 QUOTES = '"“”„«»'
 #: Words whose verdict a worker keeps, and the longest it keeps.  Words of any length are looked up.
-CACHE, KEPT = 200_000, 64
+CACHE, KEPT = 100_000, 64
+#: States of the automaton that a worker keeps between words.
+STATES = 50_000
 #: Toxic documents that must have a learned stem, and other documents, as a share of those, that may: labels err.
 LEAST, NOISE = 7, 0.12
 #: Letters of the shortest stem; beginnings are counted in levels of so many more letters, as long as any is in question.
@@ -77,8 +80,13 @@ class Lexicon:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], most)
             self.ends[node].append(number)
-        self.states: dict[tuple, int] = {}
-        self.positions: list[tuple] = []
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the states built so far."""
+        #: States by their positions, each a trie node and the edits spent in four bytes.
+        self.states: dict[bytes, int] = {}
+        self.positions: list[bytes] = []
         self.moves: list[dict[str, int]] = []
         #: (edits, term) of the best whole term that a state accepts, and of the best stem that any letter completes.
         self.whole: list[tuple | None] = []
@@ -95,19 +103,20 @@ class Lexicon:
                 if spent <= self.reach[child] and spent < best.get(child, 99):
                     best[child] = spent
                     todo.append(child)
-        key = tuple(sorted(best.items()))
+        key = array("I", sorted(node << 2 | spent for node, spent in best.items())).tobytes()
         if key not in self.states:
             self.states[key] = len(self.moves)
             self.positions.append(key)
             self.moves.append({})
-            found = [(spent, number) for node, spent in key for number in self.ends[node] if spent <= self.terms[number][2]]
+            found = [(spent, number) for node, spent in best.items() for number in self.ends[node] if spent <= self.terms[number][2]]
             self.whole.append(min((x for x in found if self.terms[x[1]][1] != "stem"), default=None))
             self.stems.append(min((x for x in found if self.terms[x[1]][1] == "stem"), default=None))
         return self.states[key]
 
     def _move(self, state: int, c: str) -> int:
         best: dict[int, int] = {}
-        for node, spent in self.positions[state]:
+        for code in array("I", self.positions[state]):
+            node, spent = code >> 2, code & 3
             if spent < self.reach[node] and spent + 1 < best.get(node, 99):
                 best[node] = spent + 1  # a letter too many
             for letter, child in self.children[node].items():
@@ -118,6 +127,8 @@ class Lexicon:
         return to
 
     def find(self, word: str) -> tuple[int, int] | None:
+        if len(self.moves) > STATES:
+            self.clear()
         state, best = self.start, (99, 0)
         for c in word:
             best = min(best, self.stems[state] or best)
@@ -325,7 +336,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        lex = worker_cache(f"lexicon:{lexicon_key}", lambda: (Lexicon(*lexicon), {}))
+        box = worker_cache("lexicon", dict)
+        if lexicon_key not in box:
+            box.clear()  # a worker holds one lexicon
+            box[lexicon_key] = (Lexicon(*lexicon), {})
+        lex = box[lexicon_key]
         x = np.array([features(t, *lex) for t in texts], float).reshape(len(texts), len(FEATURES))
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ weight[:-1] + weight[-1], -500, 500))))
 

@@ -23,7 +23,7 @@ def test_stages_and_run(spark, sf_dir, docs):
 
 
 def test_awkward_tables_pass_through(spark, sf_dir, awkward, nothing):
-    last = run_stages(spark, awkward.select(*corpus_pipeline.COLUMNS, "score"), sf_dir)
+    last = run_stages(spark, awkward, sf_dir)
     assert {r.doc_id for r in last[1].collect()} <= {1, 5, 7, 8, 9, None}
     near = last[2].collect()
     assert len([r for r in near if r.doc_id == 1]) == 1 and sum(r.doc_id is None for r in near) == 1
