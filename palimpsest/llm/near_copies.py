@@ -24,15 +24,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import simhash
-from palimpsest.llm.shared import drop, written
+from palimpsest.llm.shared import batches_of, drop, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS, LIKE, DISTANCE = 5, Fraction(4, 5), 3
-#: Texts read for the order of the shingles, and the most frequent shingles it holds.  They decide speed only.
-SAMPLED, RANKED = 2_000, 200_000
+#: Texts read for the order of the shingles: a share of all, at least and at most so many; and the most frequent shingles it
+#: holds.  They decide speed only.
+SHARE, SAMPLED, RANKED = 1 / 12, (2_000, 200_000), 200_000
+#: First shingles of a set by which it is seen whether two sets have met before.
+LEAD = 8
 #: Least bits of a set's wide parity (a power of two, at least twice the set's size), and neighbours of a text that the first round looks at.
-PARITY, FIRST = 1024, 4
+PARITY, FIRST = 512, 4
+#: Pairs of sets that are compared at once.
+PAIRS = 512
 #: Bits of the filter through which the sets to compare are read; what it lets through is joined exactly.
 FILTER = 26
 
@@ -79,7 +84,8 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view("<i8"))], ["h"])
 
-    share = min(1.0, SAMPLED / max(1, docs.count()))
+    count = docs.count()
+    share = min(1.0, min(max(SHARE * count, SAMPLED[0]), SAMPLED[1]) / max(1, count))
     some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
     got = some.mapInArrow(run, "h bigint").groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(RANKED).toPandas()
     h = got["h"].to_numpy(np.int64).view("<u8")
@@ -120,10 +126,12 @@ def digests(docs: DataFrame, words: int, like: Fraction) -> DataFrame:
 
 
 def may_link(x: str, y: str, like: Fraction) -> Column:
-    """Whether structs of (n, parity, at) that share a shingle can be of sets of at least ``like``, by length, position and parity."""
+    """Whether structs of (n, parity, at) that share a shingle can be of sets of at least ``like``, by length, position and parity.
+    True for at least one shared shingle, the first, of sets that are."""
     p, q = like.numerator, like.denominator
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    left = 1 + F.least(f"{x}.at", f"{y}.at") + F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) - 1
+    # In the first cell that both share, none of the shingles before is common.
+    left = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))
     differ = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
     return (F.least(n, m) * q >= F.greatest(n, m) * p) & (left * (p + q) >= (n + m) * p) & (differ * (p + q) <= (n + m) * (q - p))
 
@@ -188,13 +196,14 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, like: Fraction) -> D
 
     def run(batches):
         for batch in batches:
-            x, y = ([np.frombuffer(s, "<u8") for s in batch.column(k).to_pylist()] for k in (2, 3))
+            x, y = ([np.frombuffer(s.as_buffer(), "<u8") for s in batch.column(k)] for k in (2, 3))
             keep = pa.array([alike(s, t, like) for s, t in zip(x, y)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     sets = read_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("fp")), words)
     left, right = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-    out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "alike")
+    with batches_of(docs.sparkSession, PAIRS):
+        out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "alike")
     drop(sets, pairs)
     return out
 
@@ -214,21 +223,25 @@ def links(docs: DataFrame, found: DataFrame, distance: int, words: int, like: Fr
     """Edges (a, b) that connect every two keys of ``found``, the digests of ``docs``, whose sets are alike, directly or through others."""
     one = written(found.filter("n > 0").select("fp", "n", "parity", "wide", "full", "prefix").dropDuplicates(["fp"]), "sets_once")
     cells = one.select(F.posexplode("prefix").alias("at", "token"), "fp", "n", "parity").select("token", F.struct("fp", "n", "parity", "at").alias("x"))
-    order = Window.partitionBy("token").orderBy("x.n", "x.fp")
-    cells = cells.withColumn("y", F.lag("x").over(order)).withColumn("z", F.lead("x").over(order))
-    shared = written(cells.filter("y is not null or z is not null").select("token", "x", "y"), "cells")
+    # Neighbours by size, and in an order that is another one in every cell: a large group of near copies hangs together by these.
+    cell = Window.partitionBy("token")
+    sized, dealt = cell.orderBy("x.n", "x.fp"), cell.orderBy(F.xxhash64("token", "x.fp"), "x.fp")
+    cells = cells.withColumn("y", F.lag("x").over(sized)).withColumn("z", F.lead("x").over(sized)).withColumn("w", F.lag("x").over(dealt))
+    shared = written(cells.filter("y is not null or z is not null").select("token", "x", "y", "w"), "cells")
     pair = [F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")]
-    beside = shared.filter("y is not null").filter(may_link("x", "y", like)).select(*pair).distinct()
-    beside = beside.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter(F.col("k") <= FIRST).drop("k")
-    near = verified(docs, written(narrowed(beside.unionByName(proposed(found, distance)).distinct(), one, like), "beside"), words, like)
+    beside = shared.select("x", F.explode(F.array("y", "w")).alias("y")).filter("y is not null").filter(may_link("x", "y", like)).select(*pair).distinct()
+    beside = narrowed(beside, one, like).withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter(F.col("k") <= FIRST).drop("k")
+    near = verified(docs, written(beside.unionByName(narrowed(proposed(found, distance), one, like)).distinct(), "beside"), words, like)
     label = simhash.components(near)
     cells = shared.select("token", "x", F.col("x.fp").alias("node")).join(label, "node", "left").select("token", "x", F.coalesce("label", "node").alias("label"))
     counts = cells.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
-    mixed = written(cells.join(counts.select("token", "most"), "token").withColumn("node", F.col("x.fp")).join(one.select(F.col("fp").alias("node"), "wide"), "node"), "mixed")
+    mixed = written(cells.join(counts.select("token", "most"), "token").withColumn("node", F.col("x.fp")).join(one.select(F.col("fp").alias("node"), "wide", F.slice("prefix", 1, LEAD).alias("lead")), "node"), "mixed")
     # Of a cell's largest component, no two members need meet; any other pair has a member outside it.
-    mixed_ = mixed.select("token", "label", "most", F.col("x").withField("wide", F.col("wide")).alias("x"))
-    rest = mixed_.filter("label <> most").select("token", F.col("x").alias("y"), F.col("label").alias("other"))
-    met = mixed_.join(rest.hint("merge"), "token").filter((F.col("label") != F.col("other")) & may_link("x", "y", like) & widely("x", "y", like))
+    met_by = mixed.select("token", "label", "most", F.col("x").withField("lead", F.col("lead")).withField("wide", F.col("wide")).alias("x"))
+    rest = met_by.filter("label <> most").select("token", F.col("x").alias("y"), F.col("label").alias("other"))
+    # Two sets meet in the first cell of their leading shingles that they share; those that share none of these, in every cell.
+    common = F.array_intersect("x.lead", "y.lead")
+    met = met_by.join(rest.hint("merge"), "token").filter((F.col("label") != F.col("other")) & may_link("x", "y", like) & widely("x", "y", like) & F.coalesce(F.get(common, 0) == F.col("token"), F.lit(True)))
     far = verified(docs, written(narrowed(met.select(*pair).distinct(), one, like), "met"), words, like)
     out = written(near.unionByName(far), "links")
     drop(one, shared, near, mixed, far)

@@ -47,7 +47,7 @@ def made(seed):
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize("sampled", [20_000, 0])
+@pytest.mark.parametrize("sampled", [(20_000, 20_000), (0, 0)])
 def test_components_of_near_copies_against_all_pairs(spark, monkeypatch, sampled):
     monkeypatch.setattr(near_copies, "SAMPLED", sampled)  # the order of the shingles decides no link
     texts = made(3)
