@@ -36,8 +36,8 @@ SHARE, SAMPLED, RANKED = 1 / 12, (2_000, 200_000), 200_000
 LEAD = 8
 #: Least bits of a set's wide parity (a power of two, at least twice the set's size), and neighbours of a text that the first round looks at.
 PARITY, FIRST = 512, 4
-#: Pairs of sets that are compared at once.
-PAIRS = 512
+#: Pairs of sets that are compared at once, and texts that are handed to Python at once.
+PAIRS, TEXTS = 512, 2048
 #: Bits of the filter through which the sets to compare are read; what it lets through is joined exactly.
 FILTER = 26
 
@@ -163,7 +163,8 @@ def read_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
     found = docs.select("text").mapInArrow(run, "fp bigint, shingles binary")
-    return written(found.join(wanted.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    with batches_of(docs.sparkSession, TEXTS):
+        return written(found.join(wanted.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
 def alike(a: np.ndarray, b: np.ndarray, like: Fraction) -> bool:
@@ -257,7 +258,8 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS, l
     texts of any length are read whole; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    found = written(digests(docs, words, like), "digests")
+    with batches_of(docs.sparkSession, TEXTS):
+        found = written(digests(docs, words, like), "digests")
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = links(docs, found, distance, words, like)
     label = simhash.components(edges)

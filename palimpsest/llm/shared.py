@@ -88,11 +88,13 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def worker_cache(name: str, make):
-    """A value that lives as long as the Python worker process, across the tasks it runs."""
-    box = sys.modules.setdefault("palimpsest_worker_cache", types.ModuleType("palimpsest_worker_cache"))
-    if not hasattr(box, name):
-        setattr(box, name, make())
-    return getattr(box, name)
+    """A value that lives on in the Python worker process, across the tasks it runs, until one of another name is asked for:
+    a worker that goes on to another operator does not hold the tables of the last."""
+    box = vars(sys.modules.setdefault("palimpsest_worker_cache", types.ModuleType("palimpsest_worker_cache"))).setdefault("held", {})
+    if name not in box:
+        box.clear()
+        box[name] = make()
+    return box[name]
 
 
 def file_system(uri: str):
