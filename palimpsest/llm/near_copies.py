@@ -40,6 +40,8 @@ PARITY, FIRST = 512, 4
 PAIRS, TEXTS = 512, 2048
 #: Bits of the filter through which the sets to compare are read; what it lets through is joined exactly.
 FILTER = 26
+#: Bits of the filter that come together to the driver, as one row.
+PIECE = 16
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -144,10 +146,17 @@ def widely(x: str, y: str, like: Fraction) -> Column:
 
 def read_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """fp and shingles of the sets of ``docs(text)`` with a key in ``wanted(fp)``."""
-    slots = wanted.select(F.shiftrightunsigned("fp", 64 - FILTER).alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)
-    bits = np.zeros(1 << FILTER, bool)
-    bits[slots] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def packed(t: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << PIECE, bool)
+        bits[t.column("s").to_numpy() & ((1 << PIECE) - 1)] = True
+        return pa.table([t.column("part").slice(0, 1), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "bits"])
+
+    slots = wanted.select(F.shiftrightunsigned("fp", 64 - FILTER).alias("s")).distinct().withColumn("part", F.shiftright("s", PIECE))
+    filled = np.zeros((1 << (FILTER - PIECE), 1 << (PIECE - 3)), np.uint8)
+    for r in slots.groupBy("part").applyInArrow(packed, "part bigint, bits binary").collect():  # no more than the filter itself
+        filled[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(filled.ravel())
 
     def run(batches):
         seen = held.value
